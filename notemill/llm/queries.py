@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, quality_rules, simhash
+from . import bpe, decontaminate, quality_rules, secrets, simhash, suffix_dedup
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_bpe": bpe.op4_bpe,
     "op7_simhash": simhash.op7_simhash,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
+    "op10_secrets": secrets.op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE}
