@@ -102,8 +102,8 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
-b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM benchmark),
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM benchmark),
 bi AS (SELECT item_id, words, least(5, len(words)) AS n FROM b WHERE len(words) > 0),
 bs AS (SELECT DISTINCT item_id, n, array_to_string(words[i:i + n - 1], ' ') AS s FROM (SELECT item_id, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM bi)),
 size AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY 1),
