@@ -23,27 +23,28 @@ def query(sql: str | None = None):
     return add
 
 
-U = F.col("url")
+def url():
+    return F.col("url")
 
 
 @query(f"SELECT page_id, {sql_normal('url')} AS url FROM pages")
 def url_normalize(spark, d):
-    return table(spark, d, "pages").select("page_id", urls.normalize(U).alias("url"))
+    return table(spark, d, "pages").select("page_id", urls.normalize(url()).alias("url"))
 
 
 @query(f"SELECT page_id, CASE WHEN n LIKE '%/' THEN n ELSE regexp_replace(n, '/[^/]*$', '') || '/' END AS prefix FROM (SELECT page_id, {sql_normal('url')} AS n FROM pages)")
 def url_default_prefix(spark, d):
-    return table(spark, d, "pages").select("page_id", urls.default_prefix(U).alias("prefix"))
+    return table(spark, d, "pages").select("page_id", urls.default_prefix(url()).alias("prefix"))
 
 
 @query(f"SELECT page_id, url FROM pages WHERE starts_with(url, 'https://') AND NOT regexp_matches(lower({sql_path('url')}), '\\.(png|jpe?g|gif|svg|webp|ico|pdf|zip|gz|tgz|ipynb|py|json|xml|txt|csv|mp4|css|js)$') AND NOT contains(lower(url), '/es/')")
 def url_scope_filter(spark, d):
-    return table(spark, d, "pages").select("page_id", "url").where(urls.in_scope(U, "https://", "/es/"))
+    return table(spark, d, "pages").select("page_id", "url").where(urls.in_scope(url(), "https://", "/es/"))
 
 
 @query(f"SELECT page_id, {sql_host('url')} AS host, {sql_netloc('url')} AS netloc, {sql_path('url')} AS path, {sql_query('url')} AS query FROM pages")
 def url_parts(spark, d):
-    return table(spark, d, "pages").select("page_id", urls.host(U).alias("host"), urls.netloc(U).alias("netloc"), urls.path(U).alias("path"), urls.query(U).alias("query"))
+    return table(spark, d, "pages").select("page_id", urls.host(url()).alias("host"), urls.netloc(url()).alias("netloc"), urls.path(url()).alias("path"), urls.query(url()).alias("query"))
 
 
 _KINDS = ("https://help.sap.com/docs/", "https://help.sap.com/viewer/", "https://github.com/", "https://learn.microsoft.com/", "https://learning.sap.com/live-sessions/", "https://x.org/")
@@ -66,8 +67,8 @@ def source_kind(spark, d):
 FROM (SELECT page_id, url, k, CASE k WHEN 0 THEN url WHEN 1 THEN 'https://accounts.example.com/x' WHEN 2 THEN 'https://id.example.net/SSO/start' ELSE 'https://other.example.net/docs' END AS landed FROM pages, (VALUES (0), (1), (2), (3)) AS t(k))""")
 def login_redirect_flag(spark, d):
     pages = table(spark, d, "pages").select("page_id", "url", F.explode(F.array(*map(F.lit, range(4)))).alias("k"))
-    landed = F.when(F.col("k") == 0, U).when(F.col("k") == 1, "https://accounts.example.com/x").when(F.col("k") == 2, "https://id.example.net/SSO/start").otherwise("https://other.example.net/docs")
-    return pages.withColumn("landed", landed).select("page_id", "k", urls.login_redirect(U, F.col("landed")).alias("expired"))
+    landed = F.when(F.col("k") == 0, url()).when(F.col("k") == 1, "https://accounts.example.com/x").when(F.col("k") == 2, "https://id.example.net/SSO/start").otherwise("https://other.example.net/docs")
+    return pages.withColumn("landed", landed).select("page_id", "k", urls.login_redirect(url(), F.col("landed")).alias("expired"))
 
 
 def headings(spark, d):
@@ -99,7 +100,7 @@ _FRONT_SQL = f"""'---' || chr(10) || 'title: "' || replace({H1}, '"', '''') || '
 
 
 def fronted(spark, d):
-    return headings(spark, d).withColumn("front", tx.front_matter(F.col("h1"), U, F.lit(AT), F.when(F.col("page_id") % 2 == 0, urls.host(U)).otherwise("")))
+    return headings(spark, d).withColumn("front", tx.front_matter(F.col("h1"), url(), F.lit(AT), F.when(F.col("page_id") % 2 == 0, urls.host(url())).otherwise("")))
 
 
 @query(f"SELECT page_id, {_FRONT_SQL} || CASE WHEN page_id % 3 = 0 THEN '# Own' ELSE '# ' || {H1} || chr(10) || chr(10) || 'Text ' || page_id END AS note FROM pages")
@@ -126,7 +127,7 @@ _TEMPLATES = ("{url}?accept=text/markdown", "{url}.md")
 @query("SELECT page_id, k, replace(t, '{url}', regexp_replace(url, '/+$', '')) AS markdown FROM pages, (VALUES (0, '{url}?accept=text/markdown'), (1, '{url}.md')) AS v(k, t)")
 def markdown_variant_url(spark, d):
     pages = table(spark, d, "pages")
-    both = [pages.select("page_id", F.lit(k).alias("k"), urls.markdown_url(U, t).alias("markdown")) for k, t in enumerate(_TEMPLATES)]
+    both = [pages.select("page_id", F.lit(k).alias("k"), urls.markdown_url(url(), t).alias("markdown")) for k, t in enumerate(_TEMPLATES)]
     return both[0].union(both[1])
 
 
@@ -135,14 +136,14 @@ def markdown_variant_url(spark, d):
 def name_fallback(spark, d):
     title = F.when(F.col("page_id") % 3 == 0, F.col("h1")).otherwise("")
     crumbs = F.when(F.col("page_id") % 4 == 0, F.array(F.lit("Home"), F.lit("Crumb"), F.lit("Here"))).otherwise(F.array(F.lit("Home")))
-    return headings(spark, d).select("page_id", urls.course_name(title, U).alias("course"), urls.parent_name(crumbs, U).alias("parent"))
+    return headings(spark, d).select("page_id", urls.course_name(title, url()).alias("course"), urls.parent_name(crumbs, url()).alias("parent"))
 
 
 @query(r"""SELECT page_id, seq, href, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href AS link FROM (SELECT page_id, url, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS seq FROM
  (SELECT page_id, url, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS h FROM pages))""")
 def page_links(spark, d):
     links = table(spark, d, "pages").select("page_id", "url", F.posexplode(html.hrefs(F.col("html"))).alias("seq", "href"))
-    return links.select("page_id", F.col("seq").cast("long").alias("seq"), "href", urls.join(U, F.col("href")).alias("link"))
+    return links.select("page_id", F.col("seq").cast("long").alias("seq"), "href", urls.join(url(), F.col("href")).alias("link"))
 
 
 @query(r"""SELECT link, page_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY link ORDER BY page_id, seq) AS n FROM (SELECT page_id, seq, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href AS link FROM
@@ -158,7 +159,7 @@ def joined_links(spark, d):
     pages = table(spark, d, "pages")
     links = pages.select((F.col("page_id") % 50).alias("m"), F.explode(html.hrefs(F.col("html"))).alias("href")).distinct()
     met = pages.select("page_id", "url", (F.col("page_id") % 50).alias("m")).join(links, "m")
-    return met.select("page_id", "href", urls.join_from_root(U, F.col("href")).alias("link"))
+    return met.select("page_id", "href", urls.join_from_root(url(), F.col("href")).alias("link"))
 
 
 _HELP = """CASE p_partkey % 4 WHEN 0 THEN 'https://help.sap.com/docs/P%20' || p_size || '/D' || p_partkey || '/t' || p_partkey || '.html?version=V' || p_size || '&locale=pt-BR'
@@ -173,7 +174,7 @@ _HELP = """CASE p_partkey % 4 WHEN 0 THEN 'https://help.sap.com/docs/P%20' || p_
  CASE k WHEN 0 THEN 'pt-BR' WHEN 1 THEN 'en-US' WHEN 2 THEN 'de-DE' ELSE CASE WHEN p_size % 2 = 0 THEN 'en-US' END END AS locale FROM (SELECT *, p_partkey % 4 AS k FROM part)""")
 def help_url_parse(spark, d):
     parts = table(spark, d, "part").select("p_partkey", F.expr(_HELP).alias("url"))
-    h = urls.help_parts(U)
+    h = urls.help_parts(url())
     return parts.select("p_partkey", h.alias("h")).select("p_partkey", "h.*")
 
 
@@ -211,14 +212,14 @@ def clean_markdown(spark, d):
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'site' ELSE 'extract' END AS command, CASE WHEN o_orderkey % 5 = 0 THEN 'site --delay 1' ELSE '' END AS args,
- CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 100 END AS ok, CASE WHEN o_orderkey % 7 <> 0 THEN 100 END AS total, CASE WHEN o_orderkey % 7 <> 0 THEN 'out/' || o_orderkey END AS folder FROM orders""")
+ CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 100 ELSE -1 END AS ok, CASE WHEN o_orderkey % 7 <> 0 THEN 100 ELSE -1 END AS total, CASE WHEN o_orderkey % 7 <> 0 THEN 'out/' || o_orderkey END AS folder FROM orders""")
 def result_line_parse(spark, d):
     o = table(spark, d, "orders")
     k = F.col("o_orderkey").cast("string")
     rest = F.when(F.col("o_orderkey") % 5 == 0, F.lit(" site --delay 1 — feito")).otherwise(F.lit(" — feito"))
     log = F.when(F.col("o_orderkey") % 7 != 0, F.concat(F.lit("INFO início\nOK: "), (F.col("o_orderkey") % 100).cast("string"), F.lit("/100 item(ns) extraído(s) em out/"), k, F.lit("\nfim"))).otherwise("saída 3")
     args = tx.line_args(rest)
-    return o.select("o_orderkey", batch.command(F.lit("https://x.org/a"), args).alias("command"), args.alias("args"), batch.result_of(log).alias("r")).select("o_orderkey", "command", "args", F.col("r.ok").cast("long").alias("ok"), "r.total", "r.folder")
+    return o.select("o_orderkey", batch.command(F.lit("https://x.org/a"), args).alias("command"), args.alias("args"), batch.result_of(log).alias("r")).select("o_orderkey", "command", "args", F.coalesce(F.col("r.ok").cast("long"), F.lit(-1)).alias("ok"), F.coalesce("r.total", F.lit(-1)).alias("total"), "r.folder")
 
 
 @query("SELECT 'page' AS kind, page_id AS id, true AS html FROM pages UNION ALL SELECT 'document', doc_id, false FROM documents UNION ALL SELECT 'odd', page_id, true FROM pages")

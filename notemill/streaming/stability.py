@@ -12,9 +12,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 OUT = "item bigint, ts timestamp, event_id bigint, value string, settled boolean"
 
 
-def settled(readings: DataFrame, item: str, ts: str, order: str, value: str, loading: str, timeout_ms: int = 20_000) -> DataFrame:
+def settled(readings: DataFrame, item: str, ts: str, order: str, value: str, loading: str, timeout_ms: int | None = 20_000) -> DataFrame:
     """A row an item: its first reading that equals the one before it, loading ones left out; or, when timeout_ms pass
-    without another reading, the last one, not settled. State is one reading an item, however many come."""
+    without another reading, the last one, not settled. State is one reading an item, however many come.
+    timeout_ms None waits for ever, as a run over what is there wants: a timeout keeps a stream alive."""
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -33,8 +34,8 @@ def settled(readings: DataFrame, item: str, ts: str, order: str, value: str, loa
                 yield pd.DataFrame({"item": [key[0]], "ts": [r.ts], "event_id": [r.event_id], "value": [r.value], "settled": [True]})
             has, last, when, eid = True, r.value, pd.Timestamp(r.ts).value, r.event_id
         state.update((has, over, when, eid, last))
-        if not over:
+        if not over and timeout_ms is not None:
             state.setTimeoutDuration(timeout_ms)
 
     own = readings.select(F.col(item).cast("long").alias("item"), F.col(ts).cast("timestamp").alias("ts"), F.col(order).cast("long").alias("event_id"), F.col(value).alias("value"), F.col(loading).alias("loading"))
-    return own.groupBy("item").applyInPandasWithState(step, OUT, "has boolean, over boolean, at bigint, event_id bigint, last string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return own.groupBy("item").applyInPandasWithState(step, OUT, "has boolean, over boolean, at bigint, event_id bigint, last string", "append", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
