@@ -53,14 +53,33 @@ def narrowed(containers: DataFrame, rounds: int = 50) -> DataFrame:
     return now
 
 
-def group_state(found: Column, expanded: Column, details_open: Column, data_state: Column, children_visible: Column) -> Column:
-    """open, closed, unknown or missing, by the first sign there is."""
-    sign = lambda c, yes, no: F.when(c == yes, "open").when(c == no, "closed")
+def _class_says(classes: Column, word: str) -> Column:
+    return F.coalesce(classes, F.lit("")).rlike(rf"(^|\s)(is-)?{word}(\s|$)")
+
+
+def group_state(found: Column, details_open: Column, expanded: Column, data_state: Column, summary_open: Column, classes: Column) -> Column:
+    """open, closed, unknown or missing, by the first sign there is: a <details>, aria-expanded, data-state, the <details>
+    around a <summary>, a class. Signs that an element doesn't have are null."""
+    told = lambda c: F.when(c, "open").when(~c, "closed")
     return F.when(~found, "missing").otherwise(
-        F.coalesce(sign(expanded, "true", "false"), F.when(details_open, "open").when(~details_open, "closed"), sign(data_state, "open", "closed"), F.when(children_visible, "open").when(~children_visible, "unknown"), F.lit("unknown"))
+        F.coalesce(
+            told(details_open),
+            F.when(expanded == "true", "open").when(expanded == "false", "closed"),
+            F.when(data_state.isin("open", "expanded"), "open").when(data_state.isin("closed", "collapsed"), "closed"),
+            told(summary_open),
+            F.when(_class_says(classes, "collapsed"), "closed").when(_class_says(classes, "expanded"), "open"),
+            F.lit("unknown"),
+        )
     )
 
 
+def is_group(expanded: Column, summary: Column, data_state: Column, popup: Column, classes: Column, configured: Column, sublist: Column) -> Column:
+    """Whether an entry opens others: by an attribute, a tag, a class, a setting, or a list beside it, hidden or not."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    state = yes(data_state.isin("open", "closed", "expanded", "collapsed"))
+    return expanded.isNotNull() | yes(summary) | state | yes((popup != "") & (popup != "false")) | _class_says(classes, "(collapsed|expanded)") | yes(configured) | yes(sublist)
+
+
 def stable_at(obs: DataFrame, item: str, order: list[str], value: str, loading: str) -> DataFrame:
     """item, value, order columns of the first reading of each item that equals the reading before it, loading ones left out."""
     by = Window.partitionBy(item).orderBy(*order)

@@ -92,16 +92,18 @@ def dom_quiet_sessions(spark, d):
     return e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.min("ts").alias("began"), F.count(F.lit(1)).alias("n")).select("user_id", "began", "n")
 
 
-@query("""SELECT f, x, o, s, v, CASE WHEN f = 0 THEN 'missing' WHEN x = 1 THEN 'open' WHEN x = 2 THEN 'closed' WHEN o = 1 THEN 'open' WHEN o = 2 THEN 'closed' WHEN s = 1 THEN 'open' WHEN s = 2 THEN 'closed' WHEN v = 1 THEN 'open' ELSE 'unknown' END AS state
- FROM range(2) a(f), range(3) b(x), range(3) c(o), range(3) e(s), range(3) g(v)""")
+@query("""SELECT f, o, x, s, m, c, CASE WHEN f = 0 THEN 'missing' WHEN o = 1 THEN 'open' WHEN o = 2 THEN 'closed' WHEN x = 1 THEN 'open' WHEN x = 2 THEN 'closed' WHEN s IN (1, 2) THEN 'open' WHEN s IN (3, 4) THEN 'closed'
+   WHEN m = 1 THEN 'open' WHEN m = 2 THEN 'closed' WHEN c = 1 THEN 'closed' WHEN c = 2 THEN 'open' ELSE 'unknown' END AS state, x > 0 OR m > 0 OR s > 0 OR c > 0 AS grp
+ FROM range(2) a(f), range(3) b(o), range(3) d(x), range(5) e(s), range(3) g(m), range(4) h(c)""")
 def group_state(spark, d):
-    three = F.array(*(F.lit(k).cast("long") for k in range(3)))
     rows = spark.range(2).withColumnRenamed("id", "f")
-    for c in "xosv":
-        rows = rows.withColumn(c, F.explode(three))
-    told = lambda c, yes, no: F.when(F.col(c) == 1, yes).when(F.col(c) == 2, no)
-    state = scoring.group_state(F.col("f") == 1, told("x", "true", "false"), told("o", True, False), told("s", "open", "closed"), told("v", True, False))
-    return rows.select("f", "x", "o", "s", "v", state.alias("state"))
+    for c, n in (("o", 3), ("x", 3), ("s", 5), ("m", 3), ("c", 4)):
+        rows = rows.withColumn(c, F.explode(F.array(*(F.lit(k).cast("long") for k in range(n)))))
+    told = lambda c, *values: F.try_element_at(F.array(*map(F.lit, values)), F.when(F.col(c) > 0, F.col(c).cast("int")))
+    expanded, state, classes = told("x", "true", "false"), told("s", "open", "expanded", "closed", "collapsed"), told("c", "a collapsed", "is-expanded b", "expanded-not collapsed")
+    got = scoring.group_state(F.col("f") == 1, told("o", True, False), expanded, state, told("m", True, False), F.when(F.col("c") == 3, None).otherwise(classes))
+    group = scoring.is_group(expanded, F.col("m") > 0, state, F.lit("false"), classes, F.lit(False), F.lit(None).cast("boolean"))
+    return rows.select("f", "o", "x", "s", "m", "c", got.alias("state"), group.alias("grp"))
 
 
 @query()
