@@ -99,3 +99,23 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, id_
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(common.table(spark, sf_dir, "pages"))
+
+
+# The rules of the query, its links and what blocks reach, as DuckDB has them.
+ORACLE = r"""
+WITH RECURSIVE p AS (SELECT page_id, url, html, regexp_replace(url, '(?s)#.*$', '') AS node FROM pages),
+l AS (SELECT url, unnest([regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?\s*canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1), regexp_extract(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?\s*canonical\b', 1),
+  regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?\s*refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS link FROM p WHERE url LIKE '%://%' AND regexp_matches(html, '(?i)canonical|http-equiv')),
+r AS (SELECT url, replace(link, '&amp;', '&') AS link, regexp_extract(url, '(?s)^(.*?)://', 1) AS scheme, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS root, regexp_extract(url, '(?s)^(.*?://[^/?#]*)[^?#]*', 0) AS whole FROM l WHERE link <> ''),
+e AS (SELECT regexp_replace(url, '(?s)#.*$', '') AS a, regexp_replace(CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN scheme || ':' || link WHEN starts_with(link, '/') THEN root || link
+  WHEN length(whole) > length(root) THEN regexp_replace(whole, '[^/]*$', '') || link ELSE root || '/' || link END, '(?s)#.*$', '') AS b FROM r),
+way AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+n AS (SELECT node FROM p UNION SELECT a FROM way),
+j AS (SELECT node, lower(regexp_extract(coalesce(node, ''), '(?s)^.*?://([^/?#]*)', 1)) AS host, regexp_extract(coalesce(node, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM n),
+v AS (SELECT node, host, path, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+  WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/' WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM j),
+x AS (SELECT node FROM v WHERE rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') AND node IN (SELECT a FROM way) UNION SELECT b FROM x JOIN way ON a = node)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN p.node IN (SELECT node FROM x) THEN 'block' ELSE 'allow' END AS verdict,
+  coalesce(rule IS NULL AND p.node IN (SELECT node FROM x), false) AS alias
+FROM p JOIN v ON p.node IS NOT DISTINCT FROM v.node
+"""
