@@ -22,7 +22,7 @@ from . import common
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces that a worker keeps with their ids.
-STORE = 1_000_000
+STORE = 150_000
 #: New pieces that go through the merge rounds together.
 TOGETHER = 50_000
 

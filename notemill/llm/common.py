@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Documents that one Arrow batch may hold; a long text makes a batch large, so it is kept small.
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 #: Bytes of text that a numpy kernel handles at once.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
