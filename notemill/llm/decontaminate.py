@@ -23,6 +23,8 @@ from . import common
 SHINGLE, THRESHOLD = 5, 0.8
 #: Rows of a table up to which it is broadcast (some MB); a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: The same for items with all their shingles.
+BROADCAST_ITEMS = 10_000
 
 
 def words_of(text):
@@ -35,9 +37,9 @@ def shingles_of(words, size: int):
     return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.array_join(F.slice(words, i, size), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def sized(df: DataFrame) -> DataFrame:
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a table for broadcast if its rows have been counted and are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def item_table(items: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -70,9 +72,8 @@ def candidates(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) ->
 
 def contained(docs: DataFrame, items: DataFrame, found: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """doc_id, item_id, n_shingles, n_found of the verified candidates."""
-    pairs = common.staged(found.join(sized(items.select("item_id", "length", "shingles")), "item_id"), "pairs")
     texts = docs.select(F.col(id_col).alias("d"), words_of(F.col(text_col)).alias("words"))
-    met = texts.join(sized(pairs), F.col("d").eqNullSafe(F.col("doc_id")))
+    met = texts.join(sized(found), F.col("d").eqNullSafe(F.col("doc_id"))).join(sized(items.select("item_id", "length", "shingles"), BROADCAST_ITEMS), "item_id")
     own = F.transform(F.sequence(F.lit(1), F.size("words") - F.col("length") + 1), lambda i: F.array_join(F.slice("words", i, F.col("length")), " "))
     n = F.when(F.size("words") >= F.col("length"), F.size(F.array_intersect("shingles", own))).otherwise(0)
     out = met.select("doc_id", "item_id", F.size("shingles").alias("n_shingles"), n.alias("n_found"))
