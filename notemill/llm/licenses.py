@@ -57,39 +57,63 @@ def template_words() -> list[str]:
 class Matcher:
     """Templates as vectors over corpus statistics: n texts, and how many have each template word."""
 
-    def __init__(self, n: int, found: dict[str, int]):
+    def __init__(self, n: int, found: dict[str, int], threshold: float = THRESHOLD):
         idf = lambda df: math.log((1 + n) / (1 + df)) + 1
         self.idf = {w: idf(found.get(w, 0)) for w in template_words()}
         self.rest = idf(0)
-        self.templates = []
-        for name, text in TEMPLATES:
+        self.threshold = threshold
+        self.of_word: dict[str, list[tuple[int, float]]] = {w: [] for w in self.idf}
+        for k, (_, text) in enumerate(TEMPLATES):
             v = {w: c * self.idf[w] for w, c in Counter(words_of(text)).items()}
-            self.templates.append((name, v, math.sqrt(sum(x * x for x in v.values()))))
-
-    def best(self, counts: Counter) -> tuple[float, str]:
-        norm = math.sqrt(sum((c * self.idf.get(w, self.rest)) ** 2 for w, c in counts.items()))
-        shared = {w: c * self.idf[w] for w, c in counts.items() if w in self.idf}
-        if not shared:
-            return 0.0, ""
-        # of equal cosines the first template wins
-        return max(((sum(v.get(w, 0) * x for w, x in shared.items()) / (norm * size), name) for name, v, size in self.templates), key=lambda s: s[0])
-
-    def scan(self, text: str | None) -> tuple[float, str, float, str]:
-        """The best cosine and name of a line or a run of lines, and of the whole text."""
-        top, whole, run = (0.0, ""), Counter(), []
-        for line in (text or "").split("\n"):
-            words = words_of(line)
-            whole.update(words)
-            if not any(w in self.idf for w in words):
-                if words:
-                    run = []
+            size = math.sqrt(sum(x * x for x in v.values()))
+            for w, x in v.items():
+                self.of_word[w].append((k, x / size))
+        # cosine <= |shared| / sqrt(|shared|^2 + |rest|^2), and each word outside the templates adds rest^2 at least
+        self.least = threshold**2 / (1 - threshold**2) * self.rest**2
+
+    def could_reach(self, shared: float, others: int) -> bool:
+        """shared: length of the part within the templates' words, or more; others: words outside."""
+        return shared * shared >= self.least * others * (1 - 1e-9) and shared > 0
+
+    def best(self, words: list[str]) -> tuple[float, str]:
+        """The highest cosine and its licence; of equal ones the first template's."""
+        norm, dots = 0.0, [0.0] * len(TEMPLATES)
+        for w, c in Counter(words).items():
+            x = c * self.idf.get(w, self.rest)
+            norm += x * x
+            for k, y in self.of_word.get(w, ()):
+                dots[k] += x * y
+        top = max(dots)
+        return (top / math.sqrt(norm), TEMPLATES[dots.index(top)][0]) if norm else (0.0, "")
+
+    def scan(self, text: str | None) -> tuple[float | None, str | None, str | None]:
+        """Cosine and licence of the best line or run of lines, and the licence of the whole text; null under the threshold."""
+        get, top, whole = self.idf.get, (0.0, ""), None
+        run: list[tuple[list[str], float, int]] = []
+        all_shared, all_others = 0.0, 0
+        for line in (text or "").lower().split("\n"):
+            words = _WORD(line)
+            if not words:
                 continue
-            run = [*run[1 - RUN :], Counter(words)]
-            for k in range(1, len(run) + 1):
-                found = self.best(run[-1] if k == 1 else sum(run[-k:], Counter()))
-                if found[0] > top[0]:
-                    top = found
-        return *top, *self.best(whole)
+            found = [x for w in words if (x := get(w)) is not None]
+            others = len(words) - len(found)
+            # the length of a sum is at most the sum of lengths, and a word that repeats counts as often
+            shared = sum(found)
+            all_shared += shared
+            all_others += others
+            if not found:
+                run = []
+                continue
+            run = [*run[1 - RUN :], (words, shared, others)]
+            s, o, joined = 0.0, 0, []
+            for own, a, b in reversed(run):
+                s, o, joined = s + a, o + b, own + joined
+                if self.could_reach(s, o) and (now := self.best(joined))[0] > top[0]:
+                    top = now
+        if self.could_reach(all_shared, all_others):
+            score, name = self.best(words_of(text or ""))
+            whole = name if score >= self.threshold else None
+        return (*top, whole) if top[0] >= self.threshold else (None, None, whole)
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> tuple[int, dict[str, int]]:
@@ -111,19 +135,19 @@ def _parent(path):
 
 
 def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each file: doc_id, path, own (its licence or null), score (its best cosine), license (own or
+    """One row for each file: doc_id, path, own (its licence or null), score (its
+    cosine, null without one), license (own or
     inherited), origin (own, inherited or none).
 
-    Null and empty texts have score 0 and no licence of their own; a null path has no directory and inherits nothing. A
+    Null and empty texts have no licence of their own; a null path has no directory and inherits nothing. A
     directory with several licence files has the alphabetically first licence. Repeated rows give repeated rows; an
     empty table gives none."""
-    matcher = Matcher(*statistics(files, text_col))
+    matcher = Matcher(*statistics(files, text_col), threshold)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [matcher.scan(x) for x in batch.column(2).to_pylist()]
-        own = [name if s >= threshold else None for s, name, _, _ in found]
-        whole = [name if s >= threshold else None for _, _, s, name in found]
-        score = [round(s, 6) for s, _, _, _ in found]
+        own, whole = [f[1] for f in found], [f[2] for f in found]
+        score = [None if f[0] is None else round(f[0], 6) for f in found]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.string()), pa.array(score, pa.float64()), pa.array(whole, pa.string())], names=["doc_id", "path", "own", "score", "whole"])
 
     kind = files.schema[id_col].dataType.simpleString()
