@@ -130,7 +130,6 @@ def clean_markdown(text: Column) -> Column:
     front = F.regexp_extract(text, _YAML, 1)
     rest = F.regexp_replace(F.regexp_replace(text, _YAML, ""), rx(r"\A\s+"), "")
     lines = F.split(rest, "\n")
-    start = F.struct(lines.alias("left"), F.lit(True).alias("on"))
 
     def step(at, _):
         drop = at["on"] & F.element_at(at["left"], 1).startswith(">") & F.array_join(F.slice(at["left"], 1, 6), "\n").rlike(r"llms(-full)?\.txt|Documentation Index")
