@@ -37,7 +37,7 @@ LENGTH, Q = 100, 32
 #: Bytes of text, at most, that one piece holds; longer texts are cut into pieces that overlap.
 PIECE = 1 << 20
 #: Parts of a bucket up to which one task refines it; larger buckets are refined by a shuffle of their strings.
-TOGETHER = 2000
+TOGETHER = 200
 # Odd multipliers.
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 _PLACE = np.uint64((1 << 22) - 1)
