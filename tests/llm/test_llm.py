@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from notemill.llm import bpe, chat, common, components, decontaminate, licenses, masked_lm, quality_rules, secrets, simhash, suffix_dedup, url_filters
+from notemill.llm import bpe, chat, common, components, decontaminate, licenses, masked_lm, near_text, quality_rules, secrets, simhash, suffix_dedup, url_filters
 
 DOCS = "doc_id long, text string, _notemill_hex string, TEXT2 string, gone int, lang string"
 
@@ -314,6 +314,58 @@ def test_gray_index_finds_every_link(spark, split):
     assert len(pairs) == len(set(want.values()))
 
 
+# --- near-duplicate stage
+
+
+def plain_groups(rows):
+    """Brute force: components of exact five-word Jaccard of 0.8 or more."""
+    cut = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    sets = [cut((t or "").encode().lower().split()) for _, t in rows]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-9 and both:
+                label = [label[b] if x == label[a] else x for x in label]
+    return label
+
+
+def test_near_texts(spark, odd, empty):
+    rng = random.Random(12)
+    rows = list(odd[0])
+    for g in range(40):
+        text = words(rng, rng.randrange(60, 300)).split(" ")
+        rows.append((1000 + 10 * g, " ".join(text)))
+        for k in range(1, 5):  # edits that leave a Jaccard similarity around 0.8
+            other = list(text)
+            for _ in range(max(1, len(text) * k // 120)):
+                other[rng.randrange(len(other))] = "changed" + str(rng.random())
+            rows.append((1000 + 10 * g + k, " ".join(other)))
+    rows += [(7000, rows[20][1] + " end"), (7000, "two texts of one id " + words(rng, 80)), (None, words(rng, 70)), (None, words(rng, 70))]
+    least = {}
+    for label, (i, t) in zip(plain_groups(rows), rows):
+        least.setdefault(label, []).append((i is None, i or 0))
+    want = Counter(None if min(v)[0] else min(v)[1] for v in least.values())
+    kept = near_text.drop_near_texts(frame(spark, rows))
+    assert kept.columns == frame(spark, []).columns
+    assert Counter(r.doc_id for r in kept.collect()) == want
+    assert near_text.drop_near_texts(empty).count() == 0
+    import corpus_pipeline
+
+    pair = frame(spark, [r for r in rows if r[0] in (1000, 1001)])
+    assert plain_groups([r for r in rows if r[0] in (1000, 1001)]) == [0, 0] and corpus_pipeline.near_duplicates(spark, pair, "").count() == 1
+
+
+def test_near_text_chunks(spark):
+    rng = random.Random(13)
+    base = words(rng, 100).split(" ")
+    rows = [(k, " ".join([*base[:50], f"odd{k}", *base[50:]])) for k in range(60)] + [(k, words(rng, 100)) for k in range(100, 130)]
+    docs = frame(spark, rows)
+    edges = near_text.verified_edges(docs, common.staged(near_text.node_rows(docs), "shingles"), weight=2000)
+    group = {r.node: r.component for r in components.components(edges).collect()}
+    assert len(group) == 60 and len(set(group.values())) == 1
+
+
 # --- 8
 
 
