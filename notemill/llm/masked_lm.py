@@ -4,9 +4,8 @@ Every token is predicted from the two tokens on either side; a document's score
 probabilities of all its tokens. Tokens are word classes: the TOP words that are most frequent over all documents, and
 BUCKETS classes of all others by a hash.
 
-What is gathered from the corpus follows its size: word counts over all documents, and the windows at one in RATE
-positions of all documents (chosen by a hash of document and position), kept as tables. The network is trained on all
-of those windows in ROUNDS rounds: shards of a fixed size, by a hash of the document, each go over their windows from
+What is gathered from the corpus follows its size: word counts over all documents, and the classes of all their tokens,
+a byte each, kept as tables. The network is trained on the windows at every position in ROUNDS rounds: shards of a fixed size, by a hash of the document, each go over their windows from
 the current weights, and the weights they reach are averaged, by shard size, in an aggregation. Only weights (fixed in
 number) come to the driver.
 """
@@ -26,7 +25,7 @@ from . import common
 TOP, BUCKETS, SIDE, WIDTH = 190, 64, 2, 16
 #: Class 0 lies beyond both ends of a document; word classes follow.
 CLASSES = 1 + TOP + BUCKETS
-RATE, ROUNDS, SHARD_WINDOWS, STEP = 16, 3, 200_000, 512
+ROUNDS, SHARD_WINDOWS, STEP = 3, 200_000, 512
 SHAPES = ((2 * SIDE, CLASSES, WIDTH), (WIDTH, CLASSES), (CLASSES,))
 
 
@@ -122,8 +121,10 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return common.map_batches(docs.select(text_col), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def training_windows(docs: DataFrame, top: list[bytes], text_col: str = "text") -> DataFrame:
-    """shard key h, n, windows (bytes): one row for each document that has a chosen position."""
+def training_tokens(docs: DataFrame, top: list[bytes], text_col: str = "text") -> DataFrame:
+    """shard key h, n, classes (bytes): the classes of all tokens, in rows of SHARD_WINDOWS tokens at most.
+
+    A row also holds SIDE classes before and after its own (zero beyond the document), so that every position has a window."""
     classes = Classes(top)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -133,19 +134,19 @@ def training_windows(docs: DataFrame, top: list[bytes], text_col: str = "text")
             if not words:
                 continue
             key = xxhash.xxh64_intdigest((x or "").encode())
-            at = np.arange(len(words), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key)
-            chosen = np.flatnonzero((at ^ (at >> np.uint64(31))) % np.uint64(RATE) == 0)
-            if len(chosen):
-                keys.append(key - (1 << 63))
-                sizes.append(len(chosen))
-                rows.append(windows(classes.of(words))[chosen].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rows, pa.binary())], names=["h", "n", "windows"])
+            own = np.r_[np.zeros(SIDE, np.uint8), classes.of(words), np.zeros(SIDE, np.uint8)]
+            for a in range(0, len(words), SHARD_WINDOWS):
+                n = min(SHARD_WINDOWS, len(words) - a)
+                keys.append((key + a) % (1 << 64) - (1 << 63))
+                sizes.append(n)
+                rows.append(own[a : a + n + 2 * SIDE].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rows, pa.binary())], names=["h", "n", "classes"])
 
-    return common.map_batches(docs.select(text_col), run, "h long, n long, windows binary")
+    return common.map_batches(docs.select(text_col), run, "h long, n long, classes binary")
 
 
 def trained(chosen: DataFrame, rounds: int = ROUNDS) -> Network:
-    """chosen: training_windows(), staged. With no windows the network stays as it begins."""
+    """chosen: training_tokens(), staged. With no tokens the network stays as it begins."""
     spark = chosen.sparkSession
     total = chosen.agg(F.sum("n")).first()[0] or 0
     net = Network()
@@ -156,7 +157,7 @@ def trained(chosen: DataFrame, rounds: int = ROUNDS) -> Network:
 
         def run(batches, number=number, weights=weights):
             def reach(parts: list[bytes]) -> pa.RecordBatch:
-                w = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 2 * SIDE + 1)
+                w = np.concatenate([windows(np.frombuffer(p, np.uint8))[SIDE:-SIDE] for p in parts])
                 own = Network(weights.value)
                 own.train(w[np.random.default_rng(number).permutation(len(w))])
                 return pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(own.flat.astype(np.float64) * len(w)), pa.array(np.full(size, len(w)))], names=["i", "w", "n"])
@@ -172,8 +173,8 @@ def trained(chosen: DataFrame, rounds: int = ROUNDS) -> Network:
             if parts:
                 yield reach(parts)
 
-        dealt = chosen.select(F.pmod("h", F.lit(shards)).alias("shard"), "h", "windows").repartition(min(shards, 4 * common.parts(spark)), "shard").sortWithinPartitions("shard", "h")
-        summed = dealt.select("shard", "windows").mapInArrow(run, "i long, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w"))
+        dealt = chosen.select(F.pmod("h", F.lit(shards)).alias("shard"), "h", "classes").repartition(min(shards, 4 * common.parts(spark)), "shard").sortWithinPartitions("shard", "h")
+        summed = dealt.select("shard", "classes").mapInArrow(run, "i long, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w"))
         flat = np.zeros(size)
         for r in summed.collect():
             flat[r[0]] = r[1]
@@ -188,7 +189,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     common.small_batches(docs.sparkSession)
     counts = common.staged(word_counts(docs, text_col), "words")
     top = [bytes(r[0]) for r in counts.orderBy(F.desc("n"), "word").limit(TOP).collect()]
-    chosen = common.staged(training_windows(docs, top, text_col), "windows")
+    chosen = common.staged(training_tokens(docs, top, text_col), "tokens")
     net = trained(chosen, rounds)
     common.dropped(counts)
     shared = docs.sparkSession.sparkContext.broadcast(net.flat)

@@ -382,6 +382,22 @@ def test_masked_lm(spark, odd, empty):
     assert masked_lm.score(empty).count() == 0
 
 
+def test_masked_lm_learns_from_every_position(spark, monkeypatch):
+    monkeypatch.setattr(masked_lm, "SHARD_WINDOWS", 7)
+    rows = [(k, " ".join(f"w{(k + j) % 5}" for j in range(n))) for k, n in enumerate((1, 2, 10, 30, 7, 14))] + [(90, None), (91, "")]
+    top = [b"w%d" % k for k in range(5)]
+    got = Counter()
+    for r in masked_lm.training_tokens(frame(spark, rows), top).collect():
+        w = masked_lm.windows(np.frombuffer(r.classes, np.uint8))[masked_lm.SIDE : -masked_lm.SIDE]
+        assert len(w) == r.n
+        got.update(map(bytes, w))
+    want = Counter()
+    for _, t in rows:
+        if masked_lm.words_of(t):
+            want.update(map(bytes, masked_lm.windows(masked_lm.Classes(top).of(masked_lm.words_of(t)))))
+    assert got == want and got.total() == 64
+
+
 def test_network_gradient():
     rng = np.random.default_rng(0)
     w = rng.integers(0, masked_lm.CLASSES, (400, 5)).astype(np.uint8)
