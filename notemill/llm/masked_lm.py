@@ -1,8 +1,9 @@
 """Masked pseudo-likelihood of documents with a small bidirectional window network.
 
 Every token is predicted from the two tokens on either side; a document's score is the sum of the conditional log
-probabilities of all its tokens. Tokens are word classes: the TOP words that are most frequent over all documents, and
-BUCKETS classes of all others by a hash.
+probabilities of all its tokens: P(word) = P(class | context) * P(word | class). The network gives the classes: the TOP
+words that are most frequent over all documents, and BUCKETS classes of all others by a hash. A word's share of its bucket
+follows from the counts of all words, which are joined to the words of each text.
 
 What is gathered from the corpus follows its size: word counts over all documents, and the classes of all their tokens,
 a byte each, kept as tables. The network is trained on the windows at every position in ROUNDS rounds: shards of a fixed size, by a hash of the document, each go over their windows from
@@ -182,6 +183,36 @@ def trained(chosen: DataFrame, rounds: int = ROUNDS) -> Network:
     return net
 
 
+def word_shares(counts: DataFrame, top: list[bytes]) -> DataFrame:
+    """word, share (the log of its share of its bucket's tokens) of every word outside top. counts: word_counts(), staged."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = batch.column(0).to_pylist()
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(Classes(top).of(words).astype(np.int64))], names=["word", "n", "class"])
+
+    placed = common.map_batches(counts.select("word", "n"), run, "word binary, n long, class long").where(F.col("class") > TOP)
+    total = F.broadcast(placed.groupBy(F.col("class").alias("of")).agg(F.sum("n").alias("total")))  # BUCKETS rows at most
+    return placed.join(total, F.col("class") == F.col("of")).select("word", F.log(F.col("n") / F.col("total")).alias("share"))
+
+
+def share_sums(docs: DataFrame, shares: DataFrame, top: list[bytes], text_col: str = "text") -> DataFrame:
+    """h (xxhash64 of the text), share: the sum over all tokens of a text that are outside top."""
+    known = frozenset(top)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, words, times = [], [], []
+        for h, x in dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())).items():
+            for w, n in Counter(w for w in words_of(x) if w not in known).items():
+                keys.append(h)
+                words.append(w)
+                times.append(n)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.binary()), pa.array(times, pa.int64())], names=["h", "w", "times"])
+
+    # copies of a text give equal rows, of which one counts
+    met = common.map_batches(docs.select(F.xxhash64(text_col).alias("h"), text_col), run, "h long, w binary, times long").distinct()
+    return met.join(shares, F.col("w") == F.col("word")).groupBy("h").agg(F.sum(F.col("times") * F.col("share")).alias("share"))
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """One row for each row of docs: doc_id, n_tokens, log_likelihood (the sum), per_token (its mean; null without a token).
 
@@ -191,6 +222,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     top = [bytes(r[0]) for r in counts.orderBy(F.desc("n"), "word").limit(TOP).collect()]
     chosen = common.staged(training_tokens(docs, top, text_col), "tokens")
     net = trained(chosen, rounds)
+    shares = common.staged(share_sums(docs, word_shares(counts, top), top, text_col), "shares")
     common.dropped(counts)
     shared = docs.sparkSession.sparkContext.broadcast(net.flat)
     classes = Classes(top)
@@ -204,11 +236,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
             words = words_of(x)
             n.append(len(words))
             sums.append(float(made[0].log_probabilities(windows(classes.of(words))).sum(dtype=np.float64)) if words else 0.0)
-        mean = [s / k if k else None for s, k in zip(sums, n)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array(mean, pa.float64())], names=["doc_id", "n_tokens", "log_likelihood", "per_token"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "text_hash", "n_tokens", "of_classes"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return common.map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, n_tokens long, log_likelihood double, per_token double")
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    rows = common.map_batches(picked, run, f"doc_id {kind}, text_hash long, n_tokens long, of_classes double")
+    out = rows.join(shares, F.col("text_hash") == F.col("h"), "left").withColumn("log_likelihood", F.col("of_classes") + F.coalesce("share", F.lit(0.0)))
+    per_token = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
+    return out.select("doc_id", "n_tokens", "log_likelihood", per_token.alias("per_token"))
 
 
 def op8_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

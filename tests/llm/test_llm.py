@@ -382,6 +382,24 @@ def test_masked_lm(spark, odd, empty):
     assert masked_lm.score(empty).count() == 0
 
 
+def test_masked_lm_scores_words(spark):
+    rows = [(k, " ".join(f"c{j:03d}" for j in range(200)) + " common" * 50) for k in range(6)]
+    rows += [(10, "alpha beta gamma " * 3), (10, "alpha beta gamma " * 3), (11, "alpha zeta"), (12, None)]
+    df = frame(spark, rows)
+    n = Counter(w for _, t in rows for w in masked_lm.words_of(t))
+    top = sorted(n, key=lambda w: (-n[w], w))[: masked_lm.TOP]
+    cls = {w: int(masked_lm.Classes(top).of([w])[0]) for w in n}
+    total = Counter()
+    for w, c in n.items():
+        total[cls[w]] += c
+    counts = common.staged(masked_lm.word_counts(df), "words")
+    shares = masked_lm.word_shares(counts, top)
+    assert {bytes(r.word): round(r.share, 9) for r in shares.collect()} == {w: round(math.log(n[w] / total[cls[w]]), 9) for w in n if w not in top}
+    got = sorted(round(r.share, 6) for r in masked_lm.share_sums(df, shares, top).collect())
+    assert got == sorted(round(sum(math.log(n[w] / total[cls[w]]) for w in masked_lm.words_of(t) if w not in top), 6) for t in {t for _, t in rows} if set(masked_lm.words_of(t)) - set(top))
+    assert Counter(r.doc_id for r in masked_lm.score(df).collect()) == Counter(i for i, _ in rows)
+
+
 def test_masked_lm_learns_from_every_position(spark, monkeypatch):
     monkeypatch.setattr(masked_lm, "SHARD_WINDOWS", 7)
     rows = [(k, " ".join(f"w{(k + j) % 5}" for j in range(n))) for k, n in enumerate((1, 2, 10, 30, 7, 14))] + [(90, None), (91, "")]
