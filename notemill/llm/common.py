@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,20 +11,33 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Documents that one Arrow batch may hold; a long text makes a batch large, so it is kept small.
+#: Documents that a kernel handles at once, and the bytes of Arrow data that they may hold together.
 BATCH_ROWS = 250
-#: Bytes of text that a numpy kernel handles at once.
 BLOCK_BYTES = 2_000_000
+#: Bytes of a table's files up to which it is broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
+#: The folder of each local session that names none.
+_own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of this machine where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session of one machine has a
+    temporary folder; on a cluster that can't work, and is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="notemill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
+    if context.applicationId not in _own_dirs:
+        made = tempfile.mkdtemp(prefix="notemill-")
+        atexit.register(shutil.rmtree, made, True)
+        _own_dirs[context.applicationId] = "file://" + made
+    return _own_dirs[context.applicationId]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -42,19 +57,30 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keeps the Arrow batches that go to Python small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sized(df: DataFrame, of: DataFrame | None = None, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks df for broadcast if the files of the staged table that it is, or is read from (of), hold few bytes; else the
+    same join shuffles."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path((of or df)._notemill_path)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return F.broadcast(df) if found <= most else df
+
+
+def slices(batch: pa.RecordBatch, rows: int = BATCH_ROWS, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most that many rows, fewer where rows are large; no part is copied."""
+    step = max(1, min(rows, int(batch.num_rows * size / max(1, batch.nbytes))))
+    for a in range(0, batch.num_rows, step):
+        yield batch.slice(a, step)
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Applies function to each Arrow batch of df."""
-    small_batches(df.sparkSession)
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType, rows: int = BATCH_ROWS) -> DataFrame:
+    """Applies function to parts of a few rows of each Arrow batch of df (Spark bounds a batch by bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := function(batch)) is not None:
-                yield out
+            for part in slices(batch, rows):
+                if (out := function(part)) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

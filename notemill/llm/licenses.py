@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .decontaminate import sized
 
 THRESHOLD, RUN = 0.6, 6
 
@@ -159,9 +158,9 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     parts = F.split("dir", "/")
     ancestors = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     dirs = rows.where("dir IS NOT NULL AND own IS NULL").select("dir").distinct().withColumn("a", F.explode(F.array_distinct(ancestors)))
-    near = dirs.join(sized(common.staged(holders, "holders")), F.col("a") == F.col("holder"))
+    near = dirs.join(common.sized(common.staged(holders, "holders")), F.col("a") == F.col("holder"))
     near = near.groupBy(F.col("dir").alias("of")).agg(F.max_by("license", F.length("a")).alias("license"))
-    out = rows.join(sized(common.staged(near, "near")), (F.col("dir") == F.col("of")) & F.col("own").isNull(), "left")
+    out = rows.join(common.sized(common.staged(near, "near")), (F.col("dir") == F.col("of")) & F.col("own").isNull(), "left")
     origin = F.when(F.col("own").isNotNull(), "own").when(F.col("license").isNotNull(), "inherited").otherwise("none")
     return out.select("doc_id", "path", "own", "score", F.coalesce("own", "license").alias("license"), origin.alias("origin"))
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .decontaminate import sized
+
 from .simhash import shingle_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -107,7 +107,7 @@ def member_sets(docs: DataFrame, members: DataFrame, text_col: str = "text") ->
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.binary())], names=["of", "cells"])
 
     texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    texts = texts.join(sized(members), F.col("h") == F.col("text_hash")).groupBy("node").agg(F.first("text").alias("text"))
+    texts = texts.join(common.sized(members), F.col("h") == F.col("text_hash")).groupBy("node").agg(F.first("text").alias("text"))
     return common.map_batches(texts, run, "of long, cells binary")
 
 
@@ -119,7 +119,7 @@ def verified_edges(docs: DataFrame, rows: DataFrame, text_col: str = "text", thr
     held = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.bit_xor(F.xxhash64("node")).alias("who")).where("size > 1")
     held = common.staged(held.groupBy("size", "weight", "who").agg(F.min("key").alias("bucket")), "buckets")
     chunks = F.when(F.col("weight") > weight, F.ceil(F.col("weight") * 2 / weight)).otherwise(1).cast("int")
-    held = sized(held.select("bucket", chunks.alias("chunks")))
+    held = common.sized(held.select("bucket", chunks.alias("chunks")), held)
     met = common.staged(dealt.join(held, F.col("key") == F.col("bucket")).select("node", "key", "chunks"), "met")
     members = common.staged(nodes.join(met.select(F.col("node").alias("m")).distinct(), F.col("node") == F.col("m"), "left_semi").select("node", "text_hash"), "members")
     c = F.expr("int(pmod(xxhash64(node, 7), chunks))")
@@ -145,7 +145,7 @@ def verified_edges(docs: DataFrame, rows: DataFrame, text_col: str = "text", thr
         if names:
             yield edges(names, cells)
 
-    common.small_batches(spark)
+
     found = placed.repartition(common.parts(spark), "key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
     return common.staged(found.distinct(), "near-texts")
 

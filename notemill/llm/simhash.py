@@ -243,7 +243,6 @@ def near_edges(nodes: DataFrame, near: int = NEAR, split: int = SPLIT) -> DataFr
         if len(kept_k):
             yield edges(kept_k, kept_f)
 
-    common.small_batches(spark, 20_000)
     found = dealt.select("key", "fp").repartition(common.parts(spark), "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
     return common.staged(found.distinct(), "near")
 

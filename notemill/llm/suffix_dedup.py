@@ -10,11 +10,14 @@ one suffix, are left as early as possible:
 2. Refinement. A position's next identifier is made of the bucket identifiers at later offsets, over the whole range of
    strings it speaks for: positions with equal identifiers are equal over the range, and all but the first repeat it.
    A bucket that doesn't split is done.
-3. Recursion into the buckets that did split: the first position of each part is refined to one identifier for each of
-   its strings, and all but the first string of an identifier are repeats.
-
-Identifiers of q-grams are 64-bit hashes, so that no global numbering is needed; a refined bucket is told apart by 128
-bits, those of its q-gram and of the identifiers at later offsets.
+3. Recursion into the buckets that did split, with their parts in place of the positions: the strings of a part are cut
+   into runs of ever fewer offsets, whose new identifier is of all bytes that each string of a run covers (32 bytes at
+   first, then 83, 96 and 100). Each level reuses what the one before found: of equal rows one goes on, and of buckets
+   those with several parts. At the last a bucket is one string, and all but its first are repeats. What a level reads is
+   at most what the one before kept, times the runs of a row, so hot buckets cost no more than their rows.
+
+Identifiers of q-grams are 64-bit hashes, so that no global numbering is needed; a part of the first level is told apart
+by 128 bits, those of its q-gram and of the identifiers at later offsets, and those of later levels by 128-bit hashes.
 Strings never cross documents. Each step is an aggregation that combines before its shuffle, or a join whose hot keys
 adaptive execution splits, so a passage in any share of the documents loads no single task.
 """
@@ -22,12 +25,12 @@ adaptive execution splits, so a passage in any share of the documents loads no s
 from __future__ import annotations
 
 import gc
-import hashlib
 import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +39,6 @@ from . import common
 LENGTH, Q = 100, 32
 #: Bytes of text, at most, that one piece holds; longer texts are cut into pieces that overlap.
 PIECE = 1 << 20
-#: Parts of a bucket up to which one task refines it; larger buckets are refined by a shuffle of their strings.
-TOGETHER = 200
 # Odd multipliers.
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 _PLACE = np.uint64((1 << 22) - 1)
@@ -135,17 +136,6 @@ def _range(place: int, length: int) -> tuple[int, int]:
     return p - (place >> 8 & 255), p + (place & 255) - 128
 
 
-def _runs(hits: list[int], length: int) -> list[tuple[int, int]]:
-    """Bytes covered by the strings at these ascending starts, as ranges."""
-    out: list[list[int]] = []
-    for i in hits:
-        if out and i <= out[-1][1]:
-            out[-1][1] = i + length
-        else:
-            out.append([i, i + length])
-    return [(a, b) for a, b in out]
-
-
 def _free_disk(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files of tables that are written."""
     gc.collect()
@@ -169,87 +159,100 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     # refinement: the first of equal rows stands for them, the others repeat it
     part = common.staged(alive.groupBy("bucket", "refined").agg(F.min(F.struct("k", "place")).alias("least"), F.count(F.lit(1)).alias("n")), "parts")
-    more = part.where("n > 1").select(F.col("bucket").alias("b"), F.col("refined").alias("r"), "least")
-    again = alive.join(more, (F.col("bucket") == F.col("b")) & (F.col("refined") == F.col("r"))).where(F.struct("k", "place") != F.col("least"))
-    low = F.shiftright("place", 16)
-    begin, end = low - F.shiftright("place", 8).bitwiseAND(F.lit(255)), low + F.col("place").bitwiseAND(F.lit(255)) - 128 + length
-    copies = common.staged(again.select("k", begin.cast("long").alias("start"), end.cast("long").alias("end")), "ranges")
+    found = _repeats(alive, part, length, "ranges")
     common.dropped(alive)
 
     # recursion into the buckets that did split
-    split = common.staged(part.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select(F.col("bucket").alias("b"), "parts"), "split")
-    todo = part.join(split, F.col("bucket") == F.col("b")).select(F.col("least.k").alias("k"), F.struct("bucket", "least.place", (F.col("parts") > TOGETHER).alias("large")).alias("x"))
-    todo = todo.groupBy("k").agg(F.collect_list("x").alias("todo"))
-    texts = common.staged(_strings(_join_texts(docs, todo), kind, length), "strings")
+    split = common.staged(part.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select(F.col("bucket").alias("b")), "split")
+    todo = part.join(common.sized(split), F.col("bucket") == F.col("b"), "left_semi").select("least.k", "least.place").groupBy("k").agg(F.collect_list("place").alias("todo"))
+    rows = common.staged(_strings(_join_texts(docs, todo), kind, length), "strings")
     common.dropped(part)
+    common.dropped(split)
     _free_disk(spark)
-    near = _refined_together(texts.where("NOT large").select("bucket", "k", "place", "data"), kind, length)
-    far = _refined_apart(texts.where("large").select("k", "place", "data"), kind, length)
-    return copies.union(near).union(far)
+    for width in widths(length):
+        more, after = _refined_again(rows, kind, width, length)
+        common.dropped(rows)
+        found, rows = found.union(more), after
+    return found
 
 
 def _strings(met: DataFrame, kind: str, length: int) -> DataFrame:
     """The bytes that the strings of each row in todo cover."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at, cols = [], ([], [], [], [])
+        at, places, found = [], [], []
         for n, (data, todo) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-            for x in todo:
-                a, b = _range(x["place"], length)
+            for place in todo:
+                a, b = _range(place, length)
                 at.append(n)
-                for c, v in zip(cols, (x["bucket"], x["place"], x["large"], data[a : b + length])):
-                    c.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["k", "bucket", "place", "large", "data"])
-
-    return common.map_batches(met.select("k", "data", "todo"), run, f"k {kind}, bucket long, place long, large boolean, data binary")
-
-
-def _refined_together(rows: DataFrame, kind: str, length: int) -> DataFrame:
-    """Buckets of few parts: each is read in the order of its documents, and what was seen before is a repeat."""
+                places.append(place)
+                found.append(data[a : b + length])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(places, pa.int64()), pa.array(found, pa.binary())], names=["k", "place", "data"])
+
+    return common.map_batches(met.select("k", "data", "todo"), run, f"k {kind}, place long, data binary")
+
+
+def _narrowed(batch: pa.RecordBatch, width: int, length: int) -> pa.RecordBatch:
+    """Each row cut into the strings of one run of width offsets from p. bucket: all bytes that every string of such a run
+    covers, with the run's number; refined: all bytes of the row's own strings there."""
+    at, bucket, refined, places, found = [], [], [], [], []
+    digest = xxhash.xxh3_128_digest
+    for n, (place, data) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+        p, high = place >> 16, place >> 8 & 255
+        low = 128 - (place & 255)  # offsets of the strings' starts before p, from low to high
+        for run in range(low // width, high // width + 1):
+            lo, hi = max(low, run * width), min(high, run * width + width - 1)
+            shared = data[high - run * width : high - run * width - width + 1 + length]
+            own = data[high - hi : high - lo + length]
+            at.append(n)
+            bucket.append(digest(shared, run))
+            refined.append(digest(own, lo << 8 | hi))
+            places.append(p << 16 | hi << 8 | 128 - lo)
+            found.append(own)
+    cols = (pa.array(bucket, pa.binary()), pa.array(refined, pa.binary()), pa.array(places, pa.int64()), pa.array(found, pa.binary()))
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *cols], names=["k", "bucket", "refined", "place", "data"])
+
+
+def _start_end(length: int):
+    """Columns: the first byte and the end of what the strings of a place cover."""
+    p = F.shiftright("place", 16)
+    begin, end = p - F.shiftright("place", 8).bitwiseAND(F.lit(255)), p + F.col("place").bitwiseAND(F.lit(255)) - 128 + length
+    return begin.cast("long").alias("start"), end.cast("long").alias("end")
+
+
+def _repeats(alive: DataFrame, part: DataFrame, length: int, name: str) -> DataFrame:
+    """k, start, end of the rows that repeat the first of their part."""
+    more = part.where("n > 1").select(F.col("bucket").alias("b"), F.col("refined").alias("r"), F.struct("least.k", "least.place").alias("least"))
+    again = alive.select("bucket", "refined", "k", "place").join(more, (F.col("bucket") == F.col("b")) & (F.col("refined") == F.col("r"))).where(F.struct("k", "place") != F.col("least"))
+    return common.staged(again.select("k", *_start_end(length)), name)
+
+
+def _refined_again(rows: DataFrame, kind: str, width: int, length: int) -> tuple[DataFrame, DataFrame | None]:
+    """One level of refinement. rows: k, place, data, staged; the first rows of the parts of buckets that did split. Gives
+    the ranges that this level finds repeated and the rows of the next level, of buckets that split again."""
+    cut = common.map_batches(rows, lambda batch: _narrowed(batch, width, length), f"k {kind}, bucket binary, refined binary, place long, data binary")
+    shared = common.staged(cut.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("bucket").alias("b")), "shared")
+    alive = common.staged(cut.join(common.sized(shared), F.col("bucket") == F.col("b"), "left_semi"), "alive")
+    common.dropped(shared)
+    part = common.staged(alive.groupBy("bucket", "refined").agg(F.min(F.struct("k", "place", "data")).alias("least"), F.count(F.lit(1)).alias("n")), "parts")
+    found = _repeats(alive, part, length, "ranges")
+    common.dropped(alive)
+    if width == 1:  # a bucket is one string
+        common.dropped(part)
+        return found, None
+    split = common.staged(part.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select(F.col("bucket").alias("b")), "split")
+    after = common.staged(part.join(common.sized(split), F.col("bucket") == F.col("b"), "left_semi").select("least.k", "least.place", "least.data"), "strings")
+    common.dropped(split)
+    common.dropped(part)
+    return found, after
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seen = None, set()
-        for batch in batches:
-            at, start, end = [], [], []
-            for n, (bucket, place, data) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                if bucket != now:
-                    now, seen = bucket, set()
-                a, b = _range(place, length)
-                hits = []
-                for i in range(b - a + 1):
-                    s = data[i : i + length]
-                    if s in seen:
-                        hits.append(a + i)
-                    else:
-                        seen.add(s)
-                for x, y in _runs(hits, length):
-                    at.append(n)
-                    start.append(x)
-                    end.append(y)
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at, pa.int64())), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["k", "start", "end"])
-
-    dealt = rows.repartition(common.parts(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "k", "place")
-    return dealt.mapInArrow(run, f"k {kind}, start long, end long")
-
-
-def _refined_apart(rows: DataFrame, kind: str, length: int) -> DataFrame:
-    """Buckets of many parts: one identifier for each string, whose first start is found by an aggregation."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at, start, ids = [], [], []
-        for n, (place, data) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-            a, b = _range(place, length)
-            for i in range(b - a + 1):
-                at.append(n)
-                start.append(a + i)
-                ids.append(hashlib.blake2b(data[i : i + length], digest_size=16).digest())
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(start, pa.int64()), pa.array(ids, pa.binary())], names=["k", "start", "id"])
-
-    each = common.map_batches(rows, run, f"k {kind}, start long, id binary")
-    least = each.groupBy("id").agg(F.min(F.struct("k", "start")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("of"), "least")
-    met = each.join(least, F.col("id") == F.col("of")).where(F.struct("k", "start") != F.col("least"))
-    return met.select("k", "start", (F.col("start") + length).alias("end"))
+def widths(length: int = LENGTH) -> list[int]:
+    """Offsets that one run of each level of refinement holds, down to one string: 18, 5, 1."""
+    out = [-(-(length - Q + 1) // 4)]
+    while out[-1] > 1:
+        out.append(-(-out[-1] // 4) if out[-1] > 6 else 1)
+    return out
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .decontaminate import sized
 
 # The rules of the query.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -48,10 +47,11 @@ def judged_by_rules(df: DataFrame, host: str, path: str, rules, into: tuple[str,
         return df.withColumns({into[0]: rule, into[1]: verdict})
     # distinct host and path first, so that a frequent host isn't joined row by row; a host fits by each of its suffixes
     given = df.sparkSession.createDataFrame([(k, h, p, n) for n, (k, h, p) in enumerate(best)], "kind string, rule_host string, rule_path string, n int")
+    given = F.broadcast(given) if sum(len(h) + len(p) for _, h, p in best) < common.BROADCAST_BYTES else given
     each = df.select(F.col(host).alias("h"), F.col(path).alias("p")).distinct()
     labels = F.split("h", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    met = each.withColumn("suffix", F.explode(suffixes)).join(sized(given), (F.col("suffix") == F.col("rule_host")) & F.col("p").startswith(F.col("rule_path")))
+    met = each.withColumn("suffix", F.explode(suffixes)).join(given, (F.col("suffix") == F.col("rule_host")) & F.col("p").startswith(F.col("rule_path")))
     won = met.groupBy("h", "p").agg(F.min(F.struct("n", F.concat("rule_host", "rule_path").alias("rule"), "kind")).alias("won"))
     out = df.join(won, (F.col(host) == F.col("h")) & (F.col(path) == F.col("p")), "left")
     return out.withColumns({into[0]: F.col("won.rule"), into[1]: F.col("won.kind")}).drop("h", "p", "won")
@@ -92,7 +92,7 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, id_
     known = judged_by_rules(groups.withColumns({"h": host_of(F.col("node")), "q": path_of(F.col("node"))}).withColumnsRenamed({"h": "host", "q": "path"}), "host", "path", rules, ("rule", "told"))
     bad = known.where("told = 'block'").select("component").distinct()
     reached = common.staged(groups.join(bad, "component", "left_semi").select(F.col("node").alias("reached")).distinct(), "reached")
-    out = own.join(sized(reached), F.col("url") == F.col("reached"), "left")
+    out = own.join(common.sized(reached), F.col("url") == F.col("reached"), "left")
     verdict = F.coalesce("told", F.when(F.col("reached").isNotNull(), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), (F.col("told").isNull() & F.col("reached").isNotNull()).alias("alias"))
 

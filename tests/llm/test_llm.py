@@ -449,12 +449,11 @@ def plain_removed(rows, length):
     return out
 
 
-@pytest.mark.parametrize("together", [suffix_dedup.TOGETHER, 1])
-def test_repeated_strings(spark, odd, data, monkeypatch, together):
-    monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+def test_repeated_strings(spark, odd, data):
     rng = random.Random(8)
     passage, tail = words(rng, 60), "x" * 700
     rows = [(k, words(rng, 30) + passage[: rng.randrange(50, 300)] + words(rng, 20) + passage[rng.randrange(0, 99) :]) for k in range(40)]
+    rows += [(100 + k, words(rng, 9) + passage[60 : 155 + k % 9] + words(rng, 9)) for k in range(60)]  # just too short, and just long enough
     rows += [(50, tail), (51, "y" + tail[:150]), (52, passage), (53, passage), (54, None), (55, ""), (56, "é" * 100), (57, "z" + "é" * 90)]
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.deduplicated(frame(spark, rows)).collect())
     assert got == plain_removed(rows, 100)
