@@ -1,19 +1,30 @@
-"""Masked pseudo-likelihood of documents with a small bidirectional window network.
+"""Masked pseudo-likelihood of documents with a bidirectional window network.
 
 Every token is predicted from the two tokens on either side; a document's score is the sum of the conditional log
-probabilities of all its tokens: P(word) = P(class | context) * P(word | class). The network gives the classes: the TOP
-words that are most frequent over all documents, and BUCKETS classes of all others by a hash. A word's share of its bucket
-follows from the counts of all words, which are joined to the words of each text.
-
-What is gathered from the corpus follows its size: word counts over all documents, and the classes of all their tokens,
-a byte each, kept as tables. The network is trained on the windows at every position in ROUNDS rounds: shards of a fixed size, by a hash of the document, each go over their windows from
-the current weights, and the weights they reach are averaged, by shard size, in an aggregation. Only weights (fixed in
-number) come to the driver.
+probabilities of all its tokens. The vocabulary is every word of the corpus:
+
+    P(word | context) = P(group | context) * P(leaf | group, context) * P(word | leaf)
+
+The network gives the first two, a softmax in two steps over GROUPS * GROUPS leaves: the TOP words that are most frequent
+over all documents have a leaf each, and all others share BUCKETS leaves by a hash. The last is 1 for the former; for
+the others it is the word's share of its leaf's tokens, by the counts of all words over all documents.
+
+1. Words are counted over all documents, first within a task.
+2. Texts become arrays of leaves, a table. The counts of up to KNOWN most frequent words are broadcast (a fixed size);
+   the words beyond are joined with their counts. None of these is frequent, so no key of that join is hot.
+3. The network is trained in numpy on the windows at every position of all documents: each task goes over its part of
+   the table, from the current weights, and the weights that the tasks reach are averaged by their windows. Nothing is
+   shuffled for that, so copies of a text never meet in a task, and a task holds BUFFER windows at a time.
+4. Scores are the network's sums of each row and the logarithms of the shares.
+
+Only weights, the KNOWN counts and a histogram come to the driver: sizes that are fixed by parameters.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,225 +34,351 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TOP, BUCKETS, SIDE, WIDTH = 190, 64, 2, 16
-#: Class 0 lies beyond both ends of a document; word classes follow.
-CLASSES = 1 + TOP + BUCKETS
-ROUNDS, SHARD_WINDOWS, STEP = 3, 200_000, 512
-SHAPES = ((2 * SIDE, CLASSES, WIDTH), (WIDTH, CLASSES), (CLASSES,))
+SIDE, WIDTH, GROUPS, BUCKETS = 2, 16, 64, 127
+#: Leaf 0 lies beyond both ends of a document; words and buckets follow.
+LEAVES = GROUPS * GROUPS
+TOP = LEAVES - 1 - BUCKETS
+#: Words whose counts are broadcast, at most (16 bytes each).
+KNOWN = 1 << 18
+ROUNDS, RATE = 2, 0.15
+#: Windows that a task holds, and the most and fewest that make a step; between them a task has STEPS steps or more.
+BUFFER, STEP, LEAST_STEP, STEPS = 262_144, 8192, 256, 200
+#: Tasks that train, at most: each sends its weights once a round.
+SHARDS = 4096
+#: Words that a worker keeps with their numbers.
+STORE = 300_000
+#: Parts in which weights are averaged.
+PARTS = 16
+SHAPES = ((2 * SIDE, LEAVES, WIDTH), (WIDTH, GROUPS), (GROUPS,), (GROUPS, WIDTH, GROUPS), (GROUPS, GROUPS))
+
+
+def tokens_of(text: str | None) -> list[bytes]:
+    """Lower-case tokens between ASCII white space; word_of() gives their words."""
+    return (text or "").encode().lower().split()
+
+
+def word_of(token: bytes) -> bytes:
+    return token.strip(b".,;:!?") or token
+
+
+def word_hash(token: bytes) -> int:
+    h = xxhash.xxh64_intdigest(word_of(token))
+    return h - (1 << 64) if h >> 63 else h
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return [w.strip(b".,;:!?") or w for w in (text or "").encode().lower().split()]
+    return [word_of(t) for t in tokens_of(text)]
 
 
-class Classes:
-    """Numbers words; a worker keeps the numbers of words it has met, up to a bound."""
+def leaf_of(number):
+    """The leaf of the number-th word by frequency (from 1; then the buckets): neighbours in frequency lie in different groups."""
+    return number % GROUPS * GROUPS + number // GROUPS
 
-    def __init__(self, top: list[bytes]):
-        self.top = {w: 1 + k for k, w in enumerate(top)}
-        self.met = dict(self.top)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        met, out = self.met, []
-        if len(met) > 500_000:
-            met = self.met = dict(self.top)
-        for w in words:
-            k = met.get(w)
-            if k is None:
-                k = met[w] = 1 + TOP + xxhash.xxh32_intdigest(w) % BUCKETS
-            out.append(k)
-        return np.array(out, np.uint8)
+# --- the network
 
 
-def windows(classes: np.ndarray) -> np.ndarray:
-    """For each token: the classes on its left and right, then its own."""
-    n = len(classes)
-    padded = np.r_[np.zeros(SIDE, np.uint8), classes, np.zeros(SIDE, np.uint8)]
-    cols = [padded[k : k + n] for k in range(2 * SIDE + 1) if k != SIDE]
-    return np.stack([*cols, classes], axis=1)
+def windows(texts: list[np.ndarray]) -> np.ndarray:
+    """For each token: the leaves on its left and right, then its own, as columns."""
+    gap = np.zeros(SIDE, np.uint16)
+    flat = np.concatenate([gap, *(x for t in texts for x in (t, gap))])
+    at = np.flatnonzero(flat)
+    return np.stack([flat[at + k] for k in (*range(-SIDE, 0), *range(1, SIDE + 1), 0)])
 
 
 class Network:
     def __init__(self, weights: np.ndarray | None = None):
         if weights is None:
             rng = np.random.default_rng(7)
-            weights = np.concatenate([rng.normal(0, 0.1, np.prod(s)) if len(s) > 1 else np.zeros(s) for s in SHAPES])
+            weights = np.concatenate([rng.normal(0, 0.1, np.prod(s)) if len(s) > 2 or s[0] == WIDTH else np.zeros(np.prod(s)) for s in SHAPES])
         self.flat = np.array(weights, np.float32)
         at, parts = 0, []
         for s in SHAPES:
             parts.append(self.flat[at : at + int(np.prod(s))].reshape(s))
             at += int(np.prod(s))
-        self.near, self.out, self.bias = parts
-
-    def hidden(self, ctx: np.ndarray) -> np.ndarray:
-        return np.tanh(sum(self.near[k][ctx[:, k]] for k in range(2 * SIDE)))
-
-    def log_probabilities(self, w: np.ndarray, at_once: int = 4096) -> np.ndarray:
+        self.near, self.group, self.group_bias, self.leaf, self.leaf_bias = parts
+        self.seen = [np.full(s, 1e-7, np.float32) for s in SHAPES]
+
+    def _forward(self, w: np.ndarray):
+        """Hidden values, groups sorted with their cuts, and the scores within and of the groups, in that order."""
+        hidden = self.near[0][w[0]]
+        for k in range(1, 2 * SIDE):
+            hidden += self.near[k][w[k]]
+        np.tanh(hidden, out=hidden)
+        own = w[-1] // GROUPS
+        order = np.argsort(own, kind="stable")
+        hidden, own = hidden[order], own[order]
+        cut = np.r_[0, np.cumsum(np.bincount(own, minlength=GROUPS))]
+        inner = np.empty((len(own), GROUPS), np.float32)
+        for g in np.flatnonzero(np.diff(cut)):
+            np.matmul(hidden[cut[g] : cut[g + 1]], self.leaf[g], out=inner[cut[g] : cut[g + 1]])
+        inner += self.leaf_bias[own]
+        outer = hidden @ self.group
+        outer += self.group_bias
+        return hidden, order, own, cut, inner, outer
+
+    @staticmethod
+    def _exp(z: np.ndarray) -> np.ndarray:
+        """Turns scores, in place, into exponentials over their row's highest; gives that and the sum of each row."""
+        top = z.max(axis=1)
+        z -= top[:, None]
+        np.exp(z, out=z)
+        return top, z.sum(axis=1)
+
+    def log_probabilities(self, w: np.ndarray, at_once: int = STEP) -> np.ndarray:
         """Of each window's token given those around it."""
-        out = np.empty(len(w), np.float32)
-        for a in range(0, len(w), at_once):
-            x = w[a : a + at_once]
-            z = self.hidden(x) @ self.out + self.bias
-            own = z[np.arange(len(x)), x[:, -1]]
-            top = z.max(axis=1)
-            z -= top[:, None]
-            out[a : a + at_once] = own - top - np.log(np.exp(z).sum(axis=1))
+        out = np.empty(w.shape[1])
+        for a in range(0, w.shape[1], at_once):
+            x = w[:, a : a + at_once]
+            _, order, own, _, inner, outer = self._forward(x)
+            at, leaf = np.arange(len(own)), x[-1][order] % GROUPS
+            told = inner[at, leaf] + outer[at, own]
+            for z in (inner, outer):
+                top, total = self._exp(z)
+                told -= top + np.log(total)
+            out[a + order] = told
         return out
 
-    def train(self, w: np.ndarray, rate: float = 0.15, step: int = STEP) -> None:
-        """One pass of Adagrad in the given order."""
-        seen = [np.full(s, 1e-3, np.float32) for s in SHAPES]
-        for a in range(0, len(w), step):
-            x = w[a : a + step]
-            n = len(x)
-            h = self.hidden(x)
-            z = h @ self.out + self.bias
-            z -= z.max(axis=1, keepdims=True)
-            p = np.exp(z)
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(n), x[:, -1]] -= 1
-            p /= n
-            back = (p @ self.out.T) * (1 - h * h)
-            near = np.zeros_like(self.near)
-            for k in range(2 * SIDE):
-                np.add.at(near[k], x[:, k], back)
-            for value, grad, sum_sq in zip((self.near, self.out, self.bias), (near, h.T @ p, p.sum(axis=0)), seen):
-                sum_sq += grad * grad
-                value -= rate * grad / np.sqrt(sum_sq)
+    def step(self, w: np.ndarray, rate: float = RATE) -> None:
+        """One step of Adagrad for the mean loss of these windows."""
+        hidden, order, own, cut, inner, outer = self._forward(w)
+        n, at = len(own), np.arange(len(own))
+        for z, y in ((inner, w[-1][order] % GROUPS), (outer, own)):
+            z /= self._exp(z)[1][:, None]
+            z[at, y] -= 1
+            z /= n
+        back = outer @ self.group.T
+        groups = np.flatnonzero(np.diff(cut))
+        turned = np.zeros((len(groups), WIDTH, GROUPS), np.float32)
+        for k, g in enumerate(groups):
+            s = slice(cut[g], cut[g + 1])
+            np.matmul(hidden[s].T, inner[s], out=turned[k])
+            back[s] += inner[s] @ self.leaf[g].T
+        back *= 1 - hidden * hidden
+        self._move(self.leaf, 3, groups, turned, rate)
+        self._move(self.leaf_bias, 4, groups, np.add.reduceat(inner, cut[:-1][groups], axis=0), rate)
+        self._move(self.group, 1, slice(None), hidden.T @ outer, rate)
+        self._move(self.group_bias, 2, slice(None), outer.sum(axis=0), rate)
+        for k in range(2 * SIDE):  # rows of one leaf are added up first
+            x = w[k][order]
+            by = np.argsort(x, kind="stable")
+            x = x[by]
+            first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+            self._move(self.near[k], 0, x[first], np.add.reduceat(back[by], first, axis=0), rate, k)
+
+    def _move(self, value: np.ndarray, part: int, at, grad: np.ndarray, rate: float, k: int | None = None) -> None:
+        seen = self.seen[part] if k is None else self.seen[part][k]
+        now = seen[at] + grad * grad
+        seen[at] = now
+        value[at] -= rate * grad / np.sqrt(now)
+
+
+# --- what is gathered from the corpus
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """word, n over all documents; batches are counted before the shuffle."""
+    """word (a hash), n over all documents; a task adds up its own before the shuffle."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def rows(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([word_hash(t) for t in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for x in batch.column(0).to_pylist():
-            counts.update(words_of(x))
-        return pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+        for batch in batches:
+            for part in common.slices(batch):
+                for x in part.column(0).to_pylist():
+                    counts.update(tokens_of(x))
+                if len(counts) > STORE:
+                    yield rows(counts)
+                    counts = Counter()
+        yield rows(counts)
+
+    return docs.select(text_col).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+class Words:
+    """What a corpus' counts say: the leaves of the TOP words, the counts of up to KNOWN words, each bucket's tokens."""
+
+    def __init__(self, counts: DataFrame, most: int = KNOWN):
+        """counts: word_counts(), staged."""
+        level = F.floor(16 * F.log2("n")).cast("int")
+        sizes = sorted(((r[0], r[1]) for r in counts.groupBy(level.alias("level")).count().collect()), reverse=True)
+        total, self.level = 0, 1 << 20
+        for at, n in sizes:
+            total += n
+            if total > most:
+                break
+            self.level = at
+        found = counts.where(level >= self.level).select("word", "n").toArrow()
+        word, n = (found.column(k).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
+        order = np.lexsort((word, -n))
+        word, n = word[order], n[order]
+        bucket = np.mod(word, BUCKETS)
+        tokens = np.zeros(BUCKETS)
+        for r in counts.groupBy(F.pmod("word", F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.sum("n").alias("n")).collect():
+            tokens[r[0]] = r[1]
+        self.top = TOP
+        np.subtract.at(tokens, bucket[:TOP], n[:TOP])
+        self.of_bucket = np.log(np.maximum(tokens, 1))
+        leaf = np.where(np.arange(len(word)) < TOP, leaf_of(1 + np.arange(len(word))), leaf_of(1 + TOP + bucket))
+        share = np.where(np.arange(len(word)) < TOP, 0, np.log(np.maximum(n, 1)) - self.of_bucket[bucket])
+        order = np.argsort(word)
+        self.word, self.leaf, self.share = word[order], leaf[order].astype(np.uint16), share[order]
+
+    def beyond(self, counts: DataFrame) -> DataFrame:
+        """Words that are not broadcast and occur more than once: word, log_n."""
+        return counts.where((F.floor(16 * F.log2("n")).cast("int") < self.level) & (F.col("n") > 1)).select("word", F.log("n").alias("log_n"))
+
+
+class _Numbers(dict):
+    """Numbers tokens as they come."""
+
+    def __missing__(self, token: bytes) -> int:
+        self[token] = number = len(self)
+        return number
+
+
+class Coder:
+    """Leaves and shares of texts; a worker keeps what it knows of the tokens it has met, up to a bound."""
+
+    def __init__(self, words: Words):
+        self.words = words
+        self._empty()
+
+    def _empty(self) -> None:
+        self.met = _Numbers()
+        self.leaf, self.share, self.word, self.rest = np.zeros(0, np.uint16), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def _learn(self, new: list[bytes]) -> None:
+        w = self.words
+        word = np.array([word_hash(t) for t in new], np.int64)
+        at = np.minimum(np.searchsorted(w.word, word), max(len(w.word) - 1, 0))
+        known = w.word[at] == word if len(w.word) else np.zeros(len(word), bool)
+        bucket = np.mod(word, BUCKETS)
+        leaf, share = leaf_of(1 + w.top + bucket), -w.of_bucket[bucket]
+        leaf[known], share[known] = w.leaf[at[known]], w.share[at[known]]
+        self.leaf, self.share = np.r_[self.leaf, leaf.astype(np.uint16)], np.r_[self.share, share]
+        self.word, self.rest = np.r_[self.word, word], np.r_[self.rest, ~known]
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """leaf, share, word, rest (whether the word's count is not known here) of all tokens, and where each text's begin."""
+        if len(self.met) > STORE:
+            self._empty()
+        number, known, flat, upto = self.met.__getitem__, len(self.met), [], [0]
+        for t in texts:
+            flat.extend(map(number, tokens_of(t)))
+            upto.append(len(flat))
+        if len(self.met) > known:
+            self._learn(list(islice(self.met, known, None)))
+        at = np.array(flat, np.int64)
+        return self.leaf[at], self.share[at], self.word[at], self.rest[at], np.array(upto)
+
+
+def coded(docs: DataFrame, words: Words, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row (a number of its own), doc_id, n_tokens, leaves (bytes), share (sum of the logarithms that are known here), rest
+    (words whose count is not) for each row of docs."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)  # KNOWN words at most
+    made: list[Coder] = []
 
-    return common.map_batches(docs.select(text_col), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if not made:
+            made.append(Coder(shared.value))
+        leaf, share, word, rest, upto = made[0].of(batch.column(2).to_pylist())
+        sums = np.r_[0, np.cumsum(share)][upto]
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(rest)][upto], pa.int32()), pa.array(word[rest]))
+        leaves = [leaf[a:b].tobytes() for a, b in zip(upto[:-1], upto[1:])]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(upto)), pa.array(leaves, pa.binary()), pa.array(np.diff(sums)), lists], names=["row", "doc_id", "n_tokens", "leaves", "share", "rest"])
 
+    kind = docs.schema[id_col].dataType.simpleString()
+    picked = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return common.map_batches(picked, run, f"row long, doc_id {kind}, n_tokens long, leaves binary, share double, rest array<long>")
 
-def training_tokens(docs: DataFrame, top: list[bytes], text_col: str = "text") -> DataFrame:
-    """shard key h, n, classes (bytes): the classes of all tokens, in rows of SHARD_WINDOWS tokens at most.
 
-    A row also holds SIDE classes before and after its own (zero beyond the document), so that every position has a window."""
-    classes = Classes(top)
+# --- training and scoring
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, sizes, rows = [], [], []
-        for x in batch.column(0).to_pylist():
-            words = words_of(x)
-            if not words:
-                continue
-            key = xxhash.xxh64_intdigest((x or "").encode())
-            own = np.r_[np.zeros(SIDE, np.uint8), classes.of(words), np.zeros(SIDE, np.uint8)]
-            for a in range(0, len(words), SHARD_WINDOWS):
-                n = min(SHARD_WINDOWS, len(words) - a)
-                keys.append((key + a) % (1 << 64) - (1 << 63))
-                sizes.append(n)
-                rows.append(own[a : a + n + 2 * SIDE].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rows, pa.binary())], names=["h", "n", "classes"])
-
-    return common.map_batches(docs.select(text_col), run, "h long, n long, classes binary")
-
-
-def trained(chosen: DataFrame, rounds: int = ROUNDS) -> Network:
-    """chosen: training_tokens(), staged. With no tokens the network stays as it begins."""
-    spark = chosen.sparkSession
-    total = chosen.agg(F.sum("n")).first()[0] or 0
+
+def trained(tokens: DataFrame, rounds: int = ROUNDS) -> Network:
+    """tokens: coded(), staged. With no tokens the network stays as it begins."""
+    spark = tokens.sparkSession
+    total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
+    leaves = tokens.select("leaves")
+    shards = max(1, leaves.rdd.getNumPartitions())
+    if shards > SHARDS:
+        leaves, shards = leaves.coalesce(SHARDS), SHARDS
+    size = int(np.clip(total // (shards * STEPS), LEAST_STEP, STEP))
     net = Network()
-    shards = max(1, -(-total // SHARD_WINDOWS))
-    size = len(net.flat)
     for number in range(rounds if total else 0):
         weights = spark.sparkContext.broadcast(net.flat)  # fixed in size
 
         def run(batches, number=number, weights=weights):
-            def reach(parts: list[bytes]) -> pa.RecordBatch:
-                w = np.concatenate([windows(np.frombuffer(p, np.uint8))[SIDE:-SIDE] for p in parts])
-                own = Network(weights.value)
-                own.train(w[np.random.default_rng(number).permutation(len(w))])
-                return pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(own.flat.astype(np.float64) * len(w)), pa.array(np.full(size, len(w)))], names=["i", "w", "n"])
+            own, rng, n = Network(weights.value), np.random.default_rng(number), 0
+            kept, held = [], 0
+
+            def learn():
+                w = windows(kept)
+                w = w[:, rng.permutation(w.shape[1])]
+                for a in range(0, w.shape[1], size):
+                    own.step(w[:, a : a + size])
+                return w.shape[1]
 
-            shard, parts = None, []
             for batch in batches:
-                for s, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if s != shard and parts:
-                        yield reach(parts)
-                        parts = []
-                    shard = s
-                    parts.append(w)
-            if parts:
-                yield reach(parts)
-
-        dealt = chosen.select(F.pmod("h", F.lit(shards)).alias("shard"), "h", "classes").repartition(min(shards, 4 * common.parts(spark)), "shard").sortWithinPartitions("shard", "h")
-        summed = dealt.select("shard", "classes").mapInArrow(run, "i long, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w"))
-        flat = np.zeros(size)
-        for r in summed.collect():
-            flat[r[0]] = r[1]
-        net = Network(flat)
+                for x in batch.column(0):
+                    text = np.frombuffer(x.as_buffer(), np.uint16) if x.is_valid else np.zeros(0, np.uint16)
+                    for a in range(0, len(text), BUFFER):  # a longer text is learnt from in parts; at a cut windows see one side only
+                        kept.append(text[a : a + BUFFER])
+                        held += len(kept[-1])
+                        if held >= BUFFER:
+                            n += learn()
+                            kept, held = [], 0
+            if held:
+                n += learn()
+            if n:
+                parts = np.array_split(own.flat, PARTS)
+                yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([n] * PARTS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "n", "w"])
+
+        def averaged(batches):
+            sums: dict[int, list] = {}
+            for batch in batches:
+                for part, n, w in zip(*(c.to_pylist() for c in batch.columns)):
+                    now = sums.setdefault(part, [0, 0.0])
+                    now[0] += n
+                    now[1] = now[1] + n * np.frombuffer(w, np.float32).astype(np.float64)
+            if sums:
+                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(s / n).astype(np.float32).tobytes() for n, s in sums.values()], pa.binary())], names=["part", "w"])
+
+        reached = leaves.mapInArrow(run, "part int, n long, w binary").repartition(PARTS, "part").mapInArrow(averaged, "part int, w binary")
+        net = Network(np.concatenate([np.frombuffer(r[1], np.float32) for r in sorted(reached.collect())]))
+        weights.unpersist()
     return net
 
 
-def word_shares(counts: DataFrame, top: list[bytes]) -> DataFrame:
-    """word, share (the log of its share of its bucket's tokens) of every word outside top. counts: word_counts(), staged."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = batch.column(0).to_pylist()
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(Classes(top).of(words).astype(np.int64))], names=["word", "n", "class"])
-
-    placed = common.map_batches(counts.select("word", "n"), run, "word binary, n long, class long").where(F.col("class") > TOP)
-    total = F.broadcast(placed.groupBy(F.col("class").alias("of")).agg(F.sum("n").alias("total")))  # BUCKETS rows at most
-    return placed.join(total, F.col("class") == F.col("of")).select("word", F.log(F.col("n") / F.col("total")).alias("share"))
-
-
-def share_sums(docs: DataFrame, shares: DataFrame, top: list[bytes], text_col: str = "text") -> DataFrame:
-    """h (xxhash64 of the text), share: the sum over all tokens of a text that are outside top."""
-    known = frozenset(top)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, words, times = [], [], []
-        for h, x in dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())).items():
-            for w, n in Counter(w for w in words_of(x) if w not in known).items():
-                keys.append(h)
-                words.append(w)
-                times.append(n)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.binary()), pa.array(times, pa.int64())], names=["h", "w", "times"])
-
-    # copies of a text give equal rows, of which one counts
-    met = common.map_batches(docs.select(F.xxhash64(text_col).alias("h"), text_col), run, "h long, w binary, times long").distinct()
-    return met.join(shares, F.col("w") == F.col("word")).groupBy("h").agg(F.sum(F.col("times") * F.col("share")).alias("share"))
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, known: int = KNOWN) -> DataFrame:
     """One row for each row of docs: doc_id, n_tokens, log_likelihood (the sum), per_token (its mean; null without a token).
 
-    A null or empty text has no token and log_likelihood 0. Repeated rows give repeated rows; an empty table gives none."""
-    common.small_batches(docs.sparkSession)
+    A null or empty text has no token and log_likelihood 0. Repeated rows give repeated rows; an empty table gives none;
+    of other columns none is read, so their names don't matter."""
     counts = common.staged(word_counts(docs, text_col), "words")
-    top = [bytes(r[0]) for r in counts.orderBy(F.desc("n"), "word").limit(TOP).collect()]
-    chosen = common.staged(training_tokens(docs, top, text_col), "tokens")
-    net = trained(chosen, rounds)
-    shares = common.staged(share_sums(docs, word_shares(counts, top), top, text_col), "shares")
+    words = Words(counts, known)
+    tokens = common.staged(coded(docs, words, id_col, text_col), "tokens")
+    rare = tokens.select("row", F.explode("rest").alias("w")).join(words.beyond(counts), F.col("w") == F.col("word"))
+    rare = common.staged(rare.groupBy(F.col("row").alias("of")).agg(F.sum("log_n").alias("more")), "shares")
     common.dropped(counts)
+    net = trained(tokens, rounds)
     shared = docs.sparkSession.sparkContext.broadcast(net.flat)
-    classes = Classes(top)
     made: list[Network] = []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not made:
             made.append(Network(shared.value))
-        n, sums = [], []
-        for x in batch.column(1).to_pylist():
-            words = words_of(x)
-            n.append(len(words))
-            sums.append(float(made[0].log_probabilities(windows(classes.of(words))).sum(dtype=np.float64)) if words else 0.0)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "text_hash", "n_tokens", "of_classes"])
+        texts = [np.frombuffer(x, np.uint16) for x in batch.column(4).to_pylist()]
+        upto = np.r_[0, np.cumsum(batch.column(2).to_numpy())]
+        sums = np.diff(np.r_[0, np.cumsum(made[0].log_probabilities(windows(texts)))][upto])
+        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sums)], names=["row", "doc_id", "n_tokens", "share", "of_leaves"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    rows = common.map_batches(picked, run, f"doc_id {kind}, text_hash long, n_tokens long, of_classes double")
-    out = rows.join(shares, F.col("text_hash") == F.col("h"), "left").withColumn("log_likelihood", F.col("of_classes") + F.coalesce("share", F.lit(0.0)))
+    rows = common.map_batches(tokens.select("row", "doc_id", "n_tokens", "share", "leaves"), run, f"row long, doc_id {kind}, n_tokens long, share double, of_leaves double")
+    out = rows.join(common.sized(rare), F.col("row") == F.col("of"), "left")
+    out = out.withColumn("log_likelihood", F.when(F.col("n_tokens") > 0, F.col("of_leaves") + F.col("share") + F.coalesce("more", F.lit(0.0))).otherwise(0.0))
     per_token = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
     return out.select("doc_id", "n_tokens", "log_likelihood", per_token.alias("per_token"))
 
