@@ -119,10 +119,11 @@ def _by_conversation(rows: DataFrame) -> DataFrame:
 
 
 def _batches(template: Template, batches: Iterator[pa.RecordBatch]):
-    """Runs of one conversation's turns, as conv_id, whether they begin it, ids, mask. A conversation may come in several."""
+    """Runs of one conversation's turns, as conv_id (an array of it alone, of its own type), whether they begin it, ids,
+    mask. A conversation may come in several."""
     last: object = batches  # no id
     for batch in batches:
-        conv = batch.column(0).to_pylist()
+        given, conv = batch.column(0), batch.column(0).to_pylist()
         learn, roles, texts = (batch.column(k).to_pylist() for k in (2, 3, 4))
         a = 0
         while a < len(conv):
@@ -131,7 +132,7 @@ def _batches(template: Template, batches: Iterator[pa.RecordBatch]):
                 b += 1
             begins = last is batches or last != conv[a]
             ids, mask = template.splice([np.array(x, np.int64) for x in roles[a:b]], [np.array(x, np.int64) for x in texts[a:b]], learn[a:b], [begins and k == a for k in range(a, b)])
-            yield conv[a], begins, ids, mask
+            yield given.slice(a, 1), begins, ids, mask
             last, a = conv[a], b
 
 
@@ -147,7 +148,7 @@ def format_conversations(turns: DataFrame, path: str, conv_col: str = "conv_id",
         part = 0
         for conv, begins, ids, mask in _batches(template(), batches):
             part = 0 if begins else part + 1
-            cols = [pa.array([conv]), pa.array([part], pa.int64()), pa.array([ids.tolist()], pa.list_(pa.int32())), pa.array([mask.tolist()], pa.list_(pa.bool_()))]
+            cols = [conv, pa.array([part], pa.int64()), pa.array([ids.tolist()], pa.list_(pa.int32())), pa.array([mask.tolist()], pa.list_(pa.bool_()))]
             yield pa.RecordBatch.from_arrays(cols, names=["conv_id", "part", "ids", "mask"])
 
     return _by_conversation(rows).mapInArrow(run, f"conv_id {kind}, part long, ids array<int>, mask array<boolean>")
@@ -156,7 +157,8 @@ def format_conversations(turns: DataFrame, path: str, conv_col: str = "conv_id",
 def digests(turns: DataFrame, path: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_tokens, n_loss_tokens, all read back
     from the tokens of format_conversations(), with its defined results. Hashes go on from turn to turn, so a
-    conversation of any length is read in bounded memory."""
+    conversation of any length is read in bounded memory. conv_id and turn may be of any type that sorts; other columns
+    aren't read."""
     rows, template, kind = encoded_turns(turns, path, conv_col, turn_col, role_col, text_col)
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "n_loss_tokens"]
 
@@ -166,8 +168,7 @@ def digests(turns: DataFrame, path: str, conv_col: str = "conv_id", turn_col: st
         def out() -> pa.RecordBatch:
             kinds = (None, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
             vals = [[r[k].hexdigest() if k in (2, 4) else r[k] for r in done] for k in range(8)]
-            first = pa.array(vals[0], pa.int64() if kind == "bigint" else None)
-            return pa.RecordBatch.from_arrays([first, *(pa.array(v, t) for v, t in zip(vals[1:], kinds[1:]))], names=names)
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(vals[0]), *(pa.array(v, t) for v, t in zip(vals[1:], kinds[1:]))], names=names)
 
         for conv, begins, ids, mask in _batches(template(), batches):
             if begins:
