@@ -28,14 +28,17 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges: two columns of one orderable type. Gives node and component (the smallest node reachable) for every node
-    that has an edge to another one. Nulls and self-links are left out; repeated edges count once."""
+    that has an edge to another one; common.dropped() deletes its table. Nulls and self-links are left out; repeated edges
+    count once."""
     a, b = edges.columns[:2]
     now = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, seen = common.staged(now, "edges"), None
     for _ in range(rounds):
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark.n == 0 or (mark.n, mark.h) == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+            out = now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+            out._notemill_path = now._notemill_path
+            return out
         seen = (mark.n, mark.h)
         large = common.staged(_star(now, False), "edges")
         common.dropped(now)

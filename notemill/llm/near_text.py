@@ -1,17 +1,25 @@
-"""Near-duplicate texts by the Jaccard similarity of their word shingles: MinHash buckets, then exact verification.
-
-1. Texts with one and the same set of shingles are one node.
-2. A node has BANDS keys of ROWS minimum hashes each. Two sets of similarity s share no key with probability
-   (1 - s ** ROWS) ** BANDS: 5e-8 at 0.8, less above. Of the buckets that hold the same nodes one is kept.
-3. In a bucket the links at THRESHOLD or more are found exactly, from the shingles themselves: a search in breadth
-   compares each node with those that no search has reached yet, so a dense group costs little more than its size. It
-   gives the edges of a spanning forest. A bucket of more than WEIGHT shingles is dealt again, as the pairs of its chunks.
-4. Connected components follow.
+"""The near-duplicate stage: SimHash with the Gray-order index of simhash.py, for texts that are alike at a similarity of 0.8.
+
+At a Jaccard similarity of 0.8 of their five-word shingles two texts differ in some 15 % of a fingerprint's bits, far more
+than the four of 64 that blocks of bits can rule out. So:
+
+1. Texts with one and the same set of shingles are one node, with a fingerprint of BITS bits of that set.
+2. A node is dealt into a bucket for each of a number of chosen sets of bits. Their size follows the number of nodes, so
+   that buckets stay small however many there are, and their number the size, so that a pair at the threshold meets in
+   none of them with probability MISSED at most (one at 0.9: a thousandth of that).
+3. In a bucket the Gray-order index links the fingerprints within NEAR of the first KEPT bits. These links are candidates:
+   NEAR is wide enough for all but 0.3 % of pairs at the threshold. Their components are small sets of like texts.
+4. In a component the links at THRESHOLD or more are found exactly, from the shingles themselves: a search in breadth
+   compares each node with those that no search has reached yet, so a dense group costs little more than its size. A
+   component of more than WEIGHT shingles is dealt as the pairs of its chunks. Connected components of these links follow.
+
+Texts move only as the shingles of nodes that have a candidate, once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +29,17 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-
-from .simhash import shingle_hashes
+from .simhash import bucket_forest, by_key, shingle_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 32, 4
-#: Shingles in a bucket beyond which it is dealt again by pairs of chunks of half that weight.
-WEIGHT = 8_000_000
-_RNG = np.random.default_rng(11)
-_FACTORS = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-_ADDED = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
+BITS, KEPT, NEAR = 256, 128, 30
+#: The chance that bits of two sets at the threshold are equal: 1 - acos(2 * 0.8 / 1.8) / pi.
+EQUAL = 0.8486
+MISSED = 0.02
+#: Shingles in a component beyond which it is dealt by pairs of chunks of half that weight.
+WEIGHT = 4_000_000
+# Odd multipliers.
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -38,11 +47,34 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, size), np.uint64))
 
 
-def band_keys(own: np.ndarray) -> np.ndarray:
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for k in range(0, len(own), 1024):
-        np.minimum(least, (own[k : k + 1024] * _FACTORS + _ADDED).min(axis=1), out=least)
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), n) for n, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+def fingerprint(own: np.ndarray) -> bytes:
+    """BITS bits, each set where over half of the shingles have it set."""
+    ones = np.zeros(BITS, np.int64)
+    for k in range(0, len(own), 255):  # so many ones fit in a byte
+        words = own[k : k + 255, None] * _MIX
+        words ^= words >> np.uint64(32)
+        words *= _MIX[0]
+        words ^= words >> np.uint64(29)
+        ones += np.unpackbits(words.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(own)).tobytes()
+
+
+def plan(nodes: int) -> tuple[int, int]:
+    """Bits of a key and keys of a node."""
+    size = min(40, max(8, ceil(log(max(nodes, 2), 2)) - 2))
+    return size, ceil(log(MISSED) / log(1 - EQUAL**size))
+
+
+def keys_of(prints: np.ndarray, size: int, keys: int) -> np.ndarray:
+    """prints: fingerprints, as rows of bytes. Gives the keys of each, one row for each."""
+    rng = np.random.default_rng(11)
+    chosen = np.stack([rng.permutation(BITS)[:size] for _ in range(keys)])
+    bits = np.unpackbits(prints, axis=1)[:, chosen.reshape(-1)].reshape(len(prints), keys, size)
+    packed = np.packbits(bits, axis=2)
+    out = np.zeros((len(prints), keys), np.int64)
+    for k in range(packed.shape[2]):
+        out = out << 8 | packed[:, :, k]
+    return out << 16 | np.arange(keys)
 
 
 def links(sets: list[np.ndarray], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
@@ -86,68 +118,90 @@ def links(sets: list[np.ndarray], threshold: float = THRESHOLD) -> list[tuple[in
 
 
 def node_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, node (a hash of the set of shingles), n (their number) and keys for each row of docs."""
+    """doc_id, text_hash, node (a hash of the set of shingles), n (their number) and print (their fingerprint) for each row of docs."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(x) for x in batch.column(2).to_pylist()]
         node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-        keys = [band_keys(s).tolist() if len(s) else [] for s in sets]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "n", "keys"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.binary())], names=["doc_id", "text_hash", "node", "n", "print"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return common.map_batches(picked, run, f"doc_id {kind}, text_hash long, node long, n long, keys array<long>")
+    return common.map_batches(picked, run, f"doc_id {kind}, text_hash long, node long, n long, print binary")
 
 
-def member_sets(docs: DataFrame, members: DataFrame, text_col: str = "text") -> DataFrame:
-    """of, cells (the sorted set of shingles as bytes) for the nodes of members (node, text_hash). Sets of other nodes are never kept."""
+def candidate_edges(nodes: DataFrame) -> DataFrame:
+    """nodes: node, print, staged. Edges (a, b) that span the nodes within NEAR of the bits kept, in any bucket."""
+    size, number = plan(nodes.count())
+    words = KEPT // 64
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cells = [shingle_set(x).tobytes() for x in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.binary())], names=["of", "cells"])
+    def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
+        prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, BITS // 8)
+        keys = keys_of(prints, size, number).reshape(-1)
+        kept = np.repeat(np.ascontiguousarray(prints[:, : KEPT // 8]).view(np.int64), number, axis=0)
+        node = np.repeat(batch.column(0).to_numpy(), number)
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node), *(pa.array(np.ascontiguousarray(kept[:, k])) for k in range(words))], names=["key", "node", *(f"w{k}" for k in range(words))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, node, *kept in by_key(batches):
+            a, b = bucket_forest(keys, np.stack(kept, axis=1).view(np.uint64), NEAR)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
-    texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    texts = texts.join(common.sized(members), F.col("h") == F.col("text_hash")).groupBy("node").agg(F.first("text").alias("text"))
-    return common.map_batches(texts, run, "of long, cells binary")
+    dealt = common.map_batches(nodes.select("node", "print"), deal, "key long, node long, " + ", ".join(f"w{k} long" for k in range(words)))
+    found = dealt.repartition(common.parts(nodes.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return common.staged(found.distinct(), "near-candidates")
 
 
-def verified_edges(docs: DataFrame, rows: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, weight: int = WEIGHT) -> DataFrame:
+def verified_edges(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weight: int = WEIGHT) -> DataFrame:
     """rows: node_rows() of docs, staged. Gives edges (a, b) of nodes whose components are those of the links."""
-    spark = docs.sparkSession
-    nodes = common.staged(rows.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
-    dealt = nodes.select("node", "n", F.explode("keys").alias("key"))
-    held = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.bit_xor(F.xxhash64("node")).alias("who")).where("size > 1")
-    held = common.staged(held.groupBy("size", "weight", "who").agg(F.min("key").alias("bucket")), "buckets")
-    chunks = F.when(F.col("weight") > weight, F.ceil(F.col("weight") * 2 / weight)).otherwise(1).cast("int")
-    held = common.sized(held.select("bucket", chunks.alias("chunks")), held)
-    met = common.staged(dealt.join(held, F.col("key") == F.col("bucket")).select("node", "key", "chunks"), "met")
-    members = common.staged(nodes.join(met.select(F.col("node").alias("m")).distinct(), F.col("node") == F.col("m"), "left_semi").select("node", "text_hash"), "members")
-    c = F.expr("int(pmod(xxhash64(node, 7), chunks))")
-    met = met.withColumn("c", c).withColumn("d", F.explode(F.expr("sequence(0, chunks - 1)")))
-    met = met.select("node", F.xxhash64("key", F.least("c", "d"), F.greatest("c", "d")).alias("key"))
-    own = member_sets(docs, members, text_col)
-    placed = met.join(own, F.col("node") == F.col("of")).select("key", "node", "cells")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    nodes = common.staged(rows.where("n > 0").groupBy("node").agg(first.alias("row"), F.first("n").alias("n"), F.first("print").alias("print")), "nodes")
+    near = candidate_edges(nodes)
+    group = components(near)
+    alike = common.staged(group.withColumnRenamed("node", "of"), "alike")
+    common.dropped(near)
+    common.dropped(group)
+    met = nodes.select("node", "row", "n").join(common.sized(alike), F.col("node") == F.col("of")).select("node", "component", F.col("row.doc_id").alias("k"), F.col("row.text_hash").alias("t"), "n")
+    met = members = common.staged(met, "members")
+    heavy = common.staged(met.groupBy(F.col("component").alias("c")).agg(F.sum("n").alias("weight")).where(F.col("weight") > weight), "heavy")
+    chunks = F.coalesce(F.ceil(F.col("weight") * 2 / weight), F.lit(1)).cast("int")
+    met = met.join(common.sized(heavy), F.col("component") == F.col("c"), "left").select("node", "component", "k", "t", chunks.alias("chunks"))
+    texts = docs.select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    small = common.staged(met, "looked-up")
+    texts = texts.join(common.sized(small), F.col("i").eqNullSafe(F.col("k")) & (F.col("h") == F.col("t")))
+
+    def cells(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingle_set(x).tobytes() for x in batch.column(3).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], names=["node", "component", "chunks", "cells"])
+
+    own = common.map_batches(texts.select("node", "component", "chunks", "text"), cells, "node long, component long, chunks int, cells binary")
+    own = own.withColumn("c", F.expr("int(pmod(xxhash64(node, 7), chunks))")).withColumn("d", F.explode(F.expr("sequence(0, chunks - 1)")))
+    placed = own.select(F.xxhash64("component", F.least("c", "d"), F.greatest("c", "d")).alias("key"), "node", "cells")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(names: list[int], cells: list[bytes]) -> pa.RecordBatch:
-            found = links([np.frombuffer(c, np.uint64) for c in cells], threshold)
+        def edges(names: list[int], sets: list[bytes]) -> pa.RecordBatch:
+            found = links([np.frombuffer(c, np.uint64) for c in sets], threshold)
             return pa.RecordBatch.from_arrays([pa.array([names[x] for x, _ in found], pa.int64()), pa.array([names[y] for _, y in found], pa.int64())], names=["a", "b"])
 
-        key, names, cells = None, [], []
+        key, names, sets = None, [], []
         for batch in batches:
             for k, n, c in zip(*(batch.column(j).to_pylist() for j in range(3))):
                 if k != key and names:
-                    yield edges(names, cells)
-                    names, cells = [], []
+                    yield edges(names, sets)
+                    names, sets = [], []
+                if k != key or n != names[-1]:  # a row that repeats id and text comes twice
+                    names.append(n)
+                    sets.append(c)
                 key = k
-                names.append(n)
-                cells.append(c)
         if names:
-            yield edges(names, cells)
-
+            yield edges(names, sets)
 
-    found = placed.repartition(common.parts(spark), "key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
-    return common.staged(found.distinct(), "near-texts")
+    found = placed.repartition(common.parts(docs.sparkSession), "key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
+    found = common.staged(found.distinct(), "near-texts")
+    for table in (nodes, alike, members, heavy, small):
+        common.dropped(table)
+    return found
 
 
 def drop_near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -155,7 +209,8 @@ def drop_near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts have no shingle and are one component. Rows that repeat id and text leave one."""
     rows = common.staged(node_rows(docs, id_col, text_col), "shingles")
-    group = components(verified_edges(docs, rows, text_col, threshold))
+    edges = verified_edges(docs, rows, id_col, text_col, threshold)
+    group = components(edges)
     named = rows.select("doc_id", "text_hash", "node").join(group.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     keyed = named.groupBy("doc_id", "text_hash", F.coalesce("component", "node").alias("component")).agg(F.count(F.lit(1)).alias("n"))
     keyed = common.staged(keyed, "keys")
@@ -163,8 +218,10 @@ def drop_near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     judged = keyed.join(best, keyed.component == best.c)
     wins = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
     odd = common.staged(judged.where(~wins | (F.col("n") > 1)).select(F.col("doc_id").alias("k"), F.col("text_hash").alias("t"), wins.alias("wins")), "decided")
+    for table in (rows, edges, group, keyed):
+        common.dropped(table)
     same = lambda keys: docs[id_col].eqNullSafe(keys.k) & (F.xxhash64(docs[text_col]) == keys.t)
-    once = docs.join(odd, same(odd), "left_anti")
+    once = docs.join(common.sized(odd), same(odd), "left_anti")
     repeated = odd.where("wins")
-    first, mark = docs.join(repeated, same(repeated), "left_semi"), common.free_name(docs, "text_hash")
+    first, mark = docs.join(common.sized(repeated, odd), same(repeated), "left_semi"), common.free_name(docs, "text_hash")
     return once.union(first.withColumn(mark, F.xxhash64(text_col)).dropDuplicates([id_col, mark]).drop(mark))

@@ -40,6 +40,8 @@ SPLIT = 20_000
 #: Fingerprints expected in a bucket, at most, when the number of blocks is chosen.
 BUCKET = 32
 _PAIRS = 500_000
+#: Fingerprints in a bucket up to which all its pairs are compared.
+FEW = 48
 
 
 # --- fingerprints
@@ -88,7 +90,7 @@ def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return common.map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, fp long")
 
 
-# --- the index of one bucket
+# --- the index of one bucket: fingerprints of one or more 64-bit words, one in a row
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -98,6 +100,20 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def gray_ranks(fps: np.ndarray) -> list[np.ndarray]:
+    """By word, the last one first (as lexsort has its keys): the rank of the words as one number, the first highest."""
+    out, odd = [], np.zeros(len(fps), np.uint64)
+    for word in fps.T:
+        rank = gray_rank(word) ^ (~odd + np.uint64(1))  # all bits turn where those before have an odd number set
+        odd = rank & np.uint64(1)
+        out.insert(0, rank)
+    return out
+
+
+def _bits(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+
+
 def _levels(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(mask, pattern) of the nodes of each level, leaves first."""
     ones, zeros = fps, ~fps
@@ -126,7 +142,7 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def near_labels(fps: np.ndarray, near: int = NEAR) -> np.ndarray:
-    """For distinct fingerprints sorted by Gray rank: the smallest position that each is linked with, directly or by others."""
+    """For fingerprints sorted by Gray rank: the smallest position that each is linked with, directly or by others."""
     n = len(fps)
     label = np.arange(n)
     if n < 2:
@@ -134,7 +150,7 @@ def near_labels(fps: np.ndarray, near: int = NEAR) -> np.ndarray:
     levels = _levels(fps)
     top = len(levels) - 1
     one = np.zeros(1, np.int64)
-    todo = [(top, one, one, np.zeros(1, np.int64), np.zeros(1, np.uint64))]
+    todo = [(top, one, one, np.zeros(1, np.int64), np.zeros((1, fps.shape[1]), np.uint64))]
     while todo:
         level, a, b, far, met = todo.pop()
         if len(a) > _PAIRS:
@@ -143,7 +159,7 @@ def near_labels(fps: np.ndarray, near: int = NEAR) -> np.ndarray:
             continue
         mask, pattern = levels[level]
         shared = mask[a] & mask[b]
-        far = far + np.bitwise_count((pattern[a] ^ pattern[b]) & shared & ~met)
+        far = far + _bits((pattern[a] ^ pattern[b]) & shared & ~met)
         keep = (far <= near) & ((a != b) if level == 0 else True)
         a, b, far, shared = a[keep], b[keep], far[keep], shared[keep]
         if not len(a):
@@ -153,7 +169,7 @@ def near_labels(fps: np.ndarray, near: int = NEAR) -> np.ndarray:
             continue
         width = FAN**level
         # all below both nodes are within reach of each other: link them and go no deeper
-        sure = far + np.bitwise_count(~shared) <= near
+        sure = far + _bits(~shared) <= near
         for x, y in zip(a[sure], b[sure]):
             members = np.r_[np.arange(x * width, min(n, (x + 1) * width)), np.arange(y * width, min(n, (y + 1) * width))]
             _merge(label, members, np.full(len(members), members[0]))
@@ -169,26 +185,43 @@ def near_labels(fps: np.ndarray, near: int = NEAR) -> np.ndarray:
     return label
 
 
-def bucket_edges(keys: np.ndarray, fps: np.ndarray, near: int = NEAR) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges of the near links within each run of one key."""
-    fps = fps.view(np.uint64)
-    order = np.lexsort((gray_rank(fps), keys))
+def bucket_forest(keys: np.ndarray, fps: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions a, b of spanning edges of the near links within the buckets of equal keys. A bucket of a few fingerprints
+    is compared pair by pair, the others by their index."""
+    order = np.lexsort((*gray_ranks(fps), keys))
     keys, fps = keys[order], fps[order]
     cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
     size = np.diff(cut)
+    label = np.arange(len(keys))
+    at, end = np.flatnonzero(np.repeat(size <= FEW, size)), np.repeat(cut[1:], size)
     left, right = [], []
-    two = cut[:-1][size == 2]  # most buckets with a pair have just one
-    close = np.bitwise_count(fps[two] ^ fps[two + 1]) <= near
-    left.append(fps[two[close]])
-    right.append(fps[two[close] + 1])
-    for s, n in zip(cut[:-1][size > 2], size[size > 2]):
-        own = np.unique(fps[s : s + n])
-        own = own[np.argsort(gray_rank(own))]
-        label = near_labels(own, near)
-        odd = np.flatnonzero(label != np.arange(len(own)))
-        left.append(own[odd])
-        right.append(own[label[odd]])
-    return np.concatenate(left), np.concatenate(right)
+    for step in range(1, FEW):
+        at = at[at + step < end[at]]
+        if not len(at):
+            break
+        close = at[_bits(fps[at] ^ fps[at + step]) <= near]
+        left.append(close)
+        right.append(close + step)
+    if left:
+        _merge(label, np.concatenate(left), np.concatenate(right))
+    for a, n in zip(cut[:-1][size > FEW], size[size > FEW]):
+        label[a : a + n] = a + near_labels(fps[a : a + n], near)
+    odd = np.flatnonzero(label != np.arange(len(label)))
+    return order[odd], order[label[odd]]
+
+
+def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of longs, in runs that hold all rows of their keys (the first column, by which the rows are sorted)."""
+    kept: list[np.ndarray] | None = None
+    for batch in batches:
+        own = [c.to_numpy() for c in batch.columns]
+        kept = [np.concatenate(x) for x in zip(kept, own)] if kept else own
+        if len(kept[0]) and kept[0][0] != kept[0][-1]:  # the last key may go on in the next batch
+            end = int(np.searchsorted(kept[0], kept[0][-1]))
+            yield [x[:end] for x in kept]
+            kept = [x[end:] for x in kept]
+    if kept and len(kept[0]):
+        yield kept
 
 
 # --- all fingerprints
@@ -227,24 +260,14 @@ def near_edges(nodes: DataFrame, near: int = NEAR, split: int = SPLIT) -> DataFr
         dealt = joined.select("fp", F.when(F.col("hot").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("c", "d"), F.greatest("c", "d"))).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_k, kept_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def edges(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            a, b = bucket_edges(k, f, near)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-        for batch in batches:
-            kept_k = np.concatenate([kept_k, batch.column(0).to_numpy()])
-            kept_f = np.concatenate([kept_f, batch.column(1).to_numpy()])
-            if len(kept_k) and kept_k[0] != kept_k[-1]:  # the last key may go on in the next batch
-                end = int(np.searchsorted(kept_k, kept_k[-1]))
-                yield edges(kept_k[:end], kept_f[:end])
-                kept_k, kept_f = kept_k[end:], kept_f[end:]
-        if len(kept_k):
-            yield edges(kept_k, kept_f)
+        for keys, fps in by_key(batches):
+            a, b = bucket_forest(keys, fps.view(np.uint64)[:, None], near)
+            yield pa.RecordBatch.from_arrays([pa.array(fps[a]), pa.array(fps[b])], names=["a", "b"])
 
     found = dealt.select("key", "fp").repartition(common.parts(spark), "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
-    return common.staged(found.distinct(), "near")
+    found = common.staged(found.distinct(), "near")
+    common.dropped(hot)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR) -> DataFrame:
@@ -258,17 +281,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # components are over long values; which of them names a component doesn't matter here
     group = components(edges)
     named = common.staged(nodes.join(group, nodes.fp == group.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "named")
+    common.dropped(edges)
+    common.dropped(group)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_fp = common.staged(named.select(F.col("fp").alias("of"), "component").join(least, "component").select("of", "component_id"), "classes")
+    common.dropped(named)
     return rows.join(of_fp, rows.fp == of_fp["of"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR) -> DataFrame:
-    """docs without the rows whose id isn't the smallest of its component; rows with a null id stay, as they can't be named."""
-    classes = near_duplicates(docs, id_col, text_col, near)
-    gone = classes.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(common.free_name(docs, "gone"))).distinct()
-    return docs.join(gone, docs[id_col] == gone[gone.columns[0]], "left_anti")
-
-
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
