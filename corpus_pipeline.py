@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates (linked at 0.8 of their five-word shingles) stays, that of the smallest id."""
+    """One row of each group of near-duplicates (SimHash over five-word shingles, linked at a similarity of 0.8) stays, that of the smallest id."""
     return near_text.drop_near_texts(docs)
 
 
@@ -50,8 +48,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each stage's result is written as Parquet and read again."""
     docs = common.table(spark, sf_dir, "documents")
-    base = f"{common.shared_dir(spark)}/notemill-pipeline-{uuid.uuid4().hex[:12]}"
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
-        docs = spark.read.parquet(f"{base}/{k}-{name}")
+        done = common.staged(stage(spark, docs, sf_dir), f"pipeline-{k}-{name}")
+        if k:
+            common.dropped(docs)
+        docs = done
     return docs
