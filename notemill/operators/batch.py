@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import shlex
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from notemill.functions import text as tx
 from notemill.functions import urls
@@ -103,9 +107,22 @@ def result_of(log: Column) -> Column:
     return F.when(log.rlike(_RESULT), F.struct(part(1).cast("int").alias("ok"), part(2).cast("int").alias("total"), tx.strip(part(3)).alias("folder")))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def arguments(args: pd.Series) -> pd.Series:
+    """The words of a command line as a shell reads it, quotes and all; null for a null and for a quote that isn't closed."""
+
+    def words(line: str | None) -> list[str] | None:
+        try:
+            return None if line is None else shlex.split(line)
+        except ValueError:
+            return None
+
+    return args.map(words)
+
+
 def command(url: Column, args: Column) -> Column:
     """The command that a line names, else that of its address."""
-    first = F.element_at(F.split(args, tx.rx(r"\s+")), 1)
+    first = F.try_element_at(arguments(args), F.lit(1))
     return F.when(first.isin("extract", "help", "page", "site", "repo", "pdf", "zendesk"), first).otherwise(urls.command_for(url))
 
 

@@ -2,54 +2,41 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notemill.operators.toc import first_seen
+from notemill.operators.toc import first_seen, numbered
+from notemill.session import staged
 
+#: Levels of a crawl that are kept as tables of their own; more are put together.
+LEVELS = 16
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder that driver and executors share, so that its lineage ends there."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder.rstrip('/')}/notemill-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
-
-def bfs(edges: DataFrame, starts: DataFrame, depth: int | None = None, levels: int = 1000) -> DataFrame:
+def bfs(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
     """edges: src, dst, pos (place of the link in its page); starts: node, seq. Gives node, depth, crawl (number in the
     order of a first-in first-out queue), from 0.
 
     One job a level: the frontier meets its links, what was seen goes, the first link to a page counts. Order within a
     level is that of the page that links and then of the link; only the frontier of a level is numbered at a time, by
-    ranges, so no task holds it all. levels bounds rounds, not pages."""
+    ranges, so no task holds it all. A level is written once, and again only with LEVELS others; the crawl ends where a
+    level finds nothing new."""
     now = staged(first_seen(starts, ["node"], ["seq"]).select("node", F.lit(0).alias("depth"), F.col("seq").cast("long").alias("ord")), "crawl")
-    seen, at = now, 0
-    while at < levels and (depth is None or at < depth):
+    seen, at = [now], 0
+    whole = lambda: reduce(DataFrame.union, seen)
+    while depth is None or at < depth:
         at += 1
-        met = now.select(F.col("node").alias("src"), "ord").join(edges, "src").join(seen.select(F.col("node").alias("dst")), "dst", "left_anti")
+        met = now.select(F.col("node").alias("src"), "ord").join(edges, "src").join(whole().select(F.col("node").alias("dst")), "dst", "left_anti")
         # of all links to a page the first counts: a minimum, which combines before its shuffle
         first = met.groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("ord", "pos")).alias("k"))
         now = staged(numbered(first, "k").select("node", F.lit(at).alias("depth"), F.col("n").alias("ord")), "crawl")
         if now.isEmpty():
             break
-        seen = staged(seen.union(now), "crawl")
-    return numbered(seen.withColumn("k", F.struct("depth", "ord")), "k").select("node", "depth", (F.col("n") - 1).alias("crawl"))
-
-
-def numbered(df: DataFrame, key: str) -> DataFrame:
-    """df with n: 1, 2, ... in the order of key, which must differ by row. Rows are dealt out by ranges of the key and
-    numbered within a partition; partitions' sizes, one row each, give where each begins."""
-    dealt = df.repartitionByRange(F.col(key)).withColumn("_p", F.spark_partition_id())
-    dealt = staged(dealt, "numbered")
-    sizes = dealt.groupBy("_p").count()
-    # as many rows as partitions
-    begins = sizes.withColumn("_b", F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", F.coalesce("_b", F.lit(0)).alias("_b"))
-    by = Window.partitionBy("_p").orderBy(key)
-    return dealt.join(F.broadcast(begins), "_p").withColumn("n", F.row_number().over(by) + F.col("_b")).drop("_p", "_b")
+        seen.append(now)
+        if len(seen) > LEVELS:
+            seen = [staged(whole(), "crawl")]
+    return numbered(whole().withColumn("k", F.struct("depth", "ord")), "k").select("node", "depth", (F.col("n") - 1).alias("crawl"))
 
 
 def plan_source(toc_pages: Column, sitemap_pages: Column, depth: Column) -> Column:

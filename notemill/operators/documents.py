@@ -83,48 +83,59 @@ def pdf_sections(pages: DataFrame, outline: DataFrame, max_depth: int = 1) -> Da
     """pages: doc, page (from 0), text; outline: doc, seq, depth, title, page. Gives doc, seq, titles, positions, body.
 
     A section begins where its title is found within FIND_WITHIN characters of its page's start, else at the page, never
-    before the section in front of it, and goes on to the next. Pages are cut into sections per document: a book is the
-    unit, so its text is put together once."""
-    # the text of a book and where its pages begin
-    row = pages.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("x"))
-    book = row.select("doc", F.concat(F.array_join(F.transform("x", lambda p: p["text"]), "\n\n"), F.lit("\n\n")).alias("whole"), F.transform("x", lambda p: F.char_length(p["text"]) + 2).alias("sizes"))
-    offsets = F.aggregate("sizes", F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    book = book.withColumn("offsets", F.slice(offsets, 1, F.size("sizes")))
+    before the section in front of it, and goes on to the next. A title is sought in a head of its page, which is the
+    beginnings of as many pages as those characters take; sections are put together from cuts of pages. Beside positions
+    no text is moved but a head a page and each page once."""
+    by_page = Window.partitionBy("doc").orderBy("page")
+    size = F.char_length("text") + 2  # an empty line follows each page
+    placed = pages.select("doc", "page", "text", (F.sum(size).over(by_page) - size).alias("begin"), size.alias("size"))
+    placed = placed.withColumn("head", F.array_join(F.collect_list(F.concat(F.substring("text", 1, FIND_WITHIN), F.lit("\n\n"))).over(Window.partitionBy("doc").orderBy("begin").rangeBetween(0, FIND_WITHIN - 1)), ""))
     marks = outline.where((F.col("depth") <= max_depth) & ~F.lower("title").isin(*CONTENTS))
-    met = marks.join(book.select("doc", "whole", "offsets"), "doc")
-    known = F.col("page") < F.size("offsets")
-    begin = F.when(known, F.expr("offsets[page]")).otherwise(F.char_length("whole"))
-    wanted = F.substring(F.lower("title"), 1, FIND_CHARS)
-    met = met.withColumn("begin", begin).withColumn("wanted", wanted)
-    within = F.lower(F.expr(f"substr(whole, begin + 1, {FIND_WITHIN})"))
-    at = F.when(known, F.expr("instr(_within, wanted)")).otherwise(0)
-    met = met.withColumn("_within", within).withColumn("found", F.when(at > 0, F.col("begin") + at - 1).otherwise(F.col("begin")))
+    ends = pages.groupBy("doc").agg(F.sum(size).alias("total"), F.count(F.lit(1)).alias("n_pages"))
+    known = marks.join(ends, "doc").join(placed.select("doc", "page", "begin", "head"), ["doc", "page"], "left")
+    at = F.instr(F.lower(F.substring("head", 1, FIND_WITHIN)), F.substring(F.lower("title"), 1, FIND_CHARS))
+    begin = F.coalesce("begin", "total")  # of a page beyond the last one: the end
+    found = known.select("doc", "seq", "depth", "title", "total", (begin + F.greatest(F.coalesce(at, F.lit(0)) - 1, F.lit(0))).alias("found"))
+    by_seq = Window.partitionBy("doc").orderBy("seq")
+    cuts = found.withColumn("cut", F.max("found").over(by_seq.rowsBetween(Window.unboundedPreceding, 0)))
+    cuts = numbered_outline(cuts.select("doc", "seq", "depth", "title", "cut"), max_depth + 1)
+
+    # where cuts fall among pages: of pages the section that goes on, of cuts the page they are in
+    nothing = F.lit(None)
+    both = placed.select("doc", F.col("begin").alias("at"), F.lit(1).alias("kind"), "page", nothing.cast(cuts.schema["seq"].dataType).alias("seq"))
+    both = both.union(cuts.select("doc", F.col("cut").alias("at"), F.lit(2).alias("kind"), nothing.cast(placed.schema["page"].dataType).alias("page"), "seq"))
+    along = Window.partitionBy("doc").orderBy("at", "kind", "seq")
+    both = both.withColumns({"seq": F.last("seq", ignorenulls=True).over(along), "page": F.last("page", ignorenulls=True).over(along)})
+    inside = both.groupBy("doc", "page").agg(F.max(F.when(F.col("kind") == 1, F.struct("at", "seq"))).alias("goes_on"), F.array_sort(F.collect_list(F.when(F.col("kind") == 2, F.struct("at", "seq")))).alias("cut"))
+    # each page becomes the piece that goes on and one from each cut to the next
+    starts = F.concat(F.array_compact(F.array("goes_on")), "cut")
+    pieces = placed.select("doc", "page", "text", "begin", "size").join(inside.select("doc", "page", starts.alias("starts")), ["doc", "page"])
+    piece = F.transform(F.col("starts"), lambda x, i: F.struct(x["seq"].alias("seq"), x["at"].alias("at"), (F.coalesce(F.try_element_at("starts", i + 2)["at"], F.col("begin") + F.col("size")) - x["at"]).alias("n")))
+    pieces = pieces.select("doc", "text", "begin", F.explode(piece).alias("x")).where("x.seq IS NOT NULL AND x.n > 0")
+    pieces = pieces.select("doc", F.col("x.seq").alias("seq"), F.col("x.at").alias("at"), F.expr("substr(concat(text, '\n\n'), CAST(x.at - begin + 1 AS INT), CAST(x.n AS INT))").alias("s"))
+    bodies = pieces.groupBy(F.col("doc").alias("d"), F.col("seq").alias("q")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]), "").alias("body"))
+    out = cuts.join(bodies, (F.col("doc") == F.col("d")) & (F.col("seq") == F.col("q")), "left")
+    return out.select("doc", "seq", "titles", "positions", tx.strip(F.coalesce("body", F.lit(""))).alias("body"))
+
+
+def numbered_outline(marks: DataFrame, levels: int) -> DataFrame:
+    """marks (doc, seq, depth from 0, and others) with titles and positions from the top, for depths below levels.
+
+    A mark lies one level below the one before it at most, so its level is the least of depth and of how far marks have
+    come: a running minimum of depth less place. The path is the last title of each level up to its own; a position is
+    the number of marks of its level since the last one of the level above, a difference of running counts."""
     by = Window.partitionBy("doc").orderBy("seq")
-    met = met.withColumn("cut", F.max("found").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    met = met.withColumn("next", F.coalesce(F.lead("cut").over(by), F.char_length("whole")))
-    return numbered_outline(met.withColumn("body", tx.strip(F.expr("substr(whole, cut + 1, next - cut)"))).select("doc", "seq", "depth", "title", "body"))
-
-
-def numbered_outline(marks: DataFrame) -> DataFrame:
-    """doc, seq, titles, positions, body from depths: the parent of a mark is the last one before it that is less deep."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, stack, counts = object(), [], {}
-        for batch in batches:
-            titles, positions = [], []
-            for d, depth, title in zip(batch["doc"], batch["depth"], batch["title"]):
-                if d != doc:
-                    doc, stack, counts = d, [], {}
-                stack = stack[:depth]
-                above = tuple(n for _, n in stack)
-                counts[above] = counts.get(above, 0) + 1
-                stack = [*stack, (title, counts[above])]
-                titles.append([t for t, _ in stack])
-                positions.append([n for _, n in stack])
-            yield pd.DataFrame({"doc": batch["doc"], "seq": batch["seq"], "titles": titles, "positions": positions, "body": batch["body"]})
-
-    kinds = {c: marks.schema[c].dataType.simpleString() for c in ("doc", "seq")}
-    return marks.repartition("doc").sortWithinPartitions("doc", "seq").mapInPandas(run, f"doc {kinds['doc']}, seq {kinds['seq']}, titles array<string>, positions array<int>, body string")
+    up_to = by.rowsBetween(Window.unboundedPreceding, 0)
+    place = marks.withColumn("_k", F.row_number().over(by) - 1)
+    own = place.withColumn("_level", (F.col("_k") + F.least(F.lit(0), F.min(F.col("depth") - F.col("_k")).over(up_to))).cast("int"))
+    here = [F.col("_level") == k for k in range(levels)]
+    own = own.withColumns({f"_n{k}": F.count(F.when(here[k], 1)).over(up_to) for k in range(levels)} | {f"_t{k}": F.last(F.when(here[k], F.col("title")), ignorenulls=True).over(up_to) for k in range(levels)})
+    since = {f"_b{k}": F.coalesce(F.last(F.when(here[k - 1], F.col(f"_n{k}")), ignorenulls=True).over(up_to), F.lit(0)) if k else F.lit(0) for k in range(levels)}
+    own = own.withColumns(since)
+    path = F.array(*(F.col(f"_t{k}") for k in range(levels)))
+    position = F.array(*((F.col(f"_n{k}") - F.col(f"_b{k}")).cast("int") for k in range(levels)))
+    depth = F.col("_level") + 1
+    return own.select(*(c for c in marks.columns if c not in ("depth", "title")), F.slice(path, 1, depth).alias("titles"), F.slice(position, 1, depth).alias("positions"))
 
 
 def section_status(body: Column) -> Column:

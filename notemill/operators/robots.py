@@ -63,10 +63,11 @@ def evaluate(pages: DataFrame, rules: DataFrame, url: str = "url", key: str = "p
     return met.withColumn("allowed", F.coalesce(~F.try_element_at(fits, F.lit(1))["deny"], F.lit(True))).drop("of", "own", "target")
 
 
-def gate(pages: DataFrame, authorized: list[str], allowed: str = "allowed", url: str = "url") -> DataFrame:
-    """Pages that may be read: allowed, or of an authorized or a local host."""
+def gate(pages: DataFrame, authorized: list[str] | Column, allowed: str = "allowed", url: str = "url") -> DataFrame:
+    """Pages that may be read: allowed, or of an authorized or a local host. authorized: hosts, or a condition."""
     h = urls.host(F.col(url))
-    return pages.where(F.col(allowed) | h.isin(authorized) | h.rlike(_LOCAL))
+    own = h.isin(authorized) if isinstance(authorized, list) else authorized
+    return pages.where(F.col(allowed) | own | h.rlike(_LOCAL))
 
 
 def wait(low: Column, high: Column, share: Column, delay: Column, floor: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notemill.session import staged
+
 
 def menu_score(items: Column, title_chars: Column, text_chars: Column) -> Column:
     """Of a container with items links: many short titles that make up its text. Null under two items."""
@@ -32,25 +34,35 @@ def menu_items(items: DataFrame, noise: tuple[str, ...]) -> DataFrame:
 
 
 def innermost(items: DataFrame, panels: DataFrame, key: str = "item") -> DataFrame:
-    """items: item, lo, hi; panels: scope, panel, lo, hi (of items: scope too). Each item with the smallest panel around it, null if none."""
-    p = panels.select(F.col("scope").alias("_s"), "panel", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    met = items.join(p, (F.col("scope") == F.col("_s")) & (F.col("_lo") < F.col("lo")) & (F.col("_hi") > F.col("hi")), "left")
+    """items: item, lo, hi; panels: scope, panel, lo, hi (of items: scope too). Each item with the smallest panel around it, null if none.
+
+    A panel around an item holds the item's lo, so it is dealt to the strips of places that it covers, strips as wide as
+    the panel to a power of two: each panel lies in two strips at most, and an item looks into one strip of each width."""
+    width = F.ceil(F.log2(F.greatest(F.col("hi") - F.col("lo"), F.lit(1)))).cast("int")
+    p = panels.select(F.col("scope").alias("_s"), "panel", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), width.alias("_w"))
+    strip = lambda c, w: F.expr(f"shiftright(CAST({c} AS BIGINT), {w})")
+    p = p.withColumn("_k", F.explode(F.array_distinct(F.array(strip("_lo", "_w"), strip("_hi", "_w")))))
+    widths = p.select(F.col("_s").alias("_ws"), F.col("_w").alias("_iw")).distinct()  # some tens a scope at most
+    seek = items.join(widths, F.col("scope") == F.col("_ws"), "left").withColumn("_ik", strip("lo", "_iw"))
+    met = seek.join(p, (F.col("scope") == F.col("_s")) & (F.col("_iw") == F.col("_w")) & (F.col("_ik") == F.col("_k")) & (F.col("_lo") < F.col("lo")) & (F.col("_hi") > F.col("hi")), "left")
     return met.groupBy("scope", key).agg(F.min_by("panel", F.col("_hi") - F.col("_lo")).alias("parent"))
 
 
-def narrowed(containers: DataFrame, rounds: int = 50) -> DataFrame:
+def narrowed(containers: DataFrame, rounds: int = 64) -> DataFrame:
     """containers: menu, container, inner (null at the innermost), left_out (links outside inner), buttons (those of them that
     are calls to action). Gives menu, container: a menu moves into its inner container while the one or two links left
-    out are all buttons. The chain is followed from each menu's outermost container, all menus a round."""
+    out are all buttons. The chain is followed from each menu's outermost container, all menus a round; containers that
+    lie deeper inside each other than rounds are an error, never a result halfway."""
     steps = containers.where((F.col("left_out").between(1, 2)) & (F.col("left_out") == F.col("buttons")) & F.col("inner").isNotNull()).select("menu", F.col("container").alias("_at"), F.col("inner").alias("_to"))
     inner = containers.where("inner IS NOT NULL").select("menu", F.col("inner").alias("container"))
     now = containers.select("menu", "container").join(inner, ["menu", "container"], "left_anti")
     for _ in range(rounds):
         met = now.join(steps, (now["menu"] == steps["menu"]) & (now["container"] == steps["_at"]), "left").select(now["menu"], F.coalesce("_to", "container").alias("container"), F.col("_to").isNotNull().alias("moved"))
+        met = staged(met, "narrowed")
         if met.where("moved").isEmpty():
-            return now
+            return met.select("menu", "container")
         now = met.select("menu", "container")
-    return now
+    raise RuntimeError(f"containers lie deeper than {rounds} inside each other, or in a circle")
 
 
 def _class_says(classes: Column, word: str) -> Column:

@@ -131,7 +131,7 @@ def latest_run(spark, d):
     return batch.latest_run(orders(spark, d).select("o_custkey", run.alias("run_id")), ["o_custkey"])
 
 
-@query()
+@query(f"""SELECT o_custkey, '{{"items":[' || string_agg('{{"o_orderkey":' || o_orderkey || ',"status":"' || {_STATUS} || '","o_orderpriority":"' || o_orderpriority || '"}}', ',' ORDER BY o_orderkey) || ']}}' AS manifest FROM orders GROUP BY 1""")
 def manifest_json(spark, d):
     return notes.manifests(orders(spark, d), ["o_custkey"], "o_orderkey", ["o_orderkey", "status", "o_orderpriority"])
 

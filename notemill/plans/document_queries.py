@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from notemill.functions import text as tx
-from notemill.operators import documents
+from notemill.operators import documents, notes
+from notemill.sources import files
 
-from .common import sql_strip, table
+from .common import AT, sql_strip, table
 
 QUERIES, SQL = {}, {}
 
@@ -124,3 +125,20 @@ def pdf_sections(spark, d):
     marks = pages.select("doc", F.col("page").alias("seq"), (F.col("page") % 3).alias("depth"), title.alias("title"), "page").where("title <> ''")
     out = documents.pdf_sections(pages, marks, max_depth=1)
     return out.select("doc", F.col("seq").cast("long").alias("seq"), F.md5("body").alias("digest"), documents.section_status(F.col("body")).alias("status"))
+
+
+@query(f"""SELECT doc_id, source || '/' || lang || '-x/doc-' || doc_id || CASE WHEN doc_id % 5 = 4 THEN '-fig.drawio' ELSE '.md' END AS file, doc_id % 5 = 4 AS asset,
+ CASE doc_id % 5 WHEN 0 THEN 'Doc ' || doc_id WHEN 1 THEN 'Head ' || doc_id WHEN 2 THEN 'Doc ' || doc_id END AS title, CASE WHEN doc_id % 5 = 3 THEN 'ValueError: arquivo sem conteúdo' END AS error,
+ CASE WHEN doc_id % 5 < 3 THEN md5('---' || chr(10) || 'title: "' || CASE WHEN doc_id % 5 = 1 THEN 'Head ' ELSE 'Doc ' END || doc_id || '"' || chr(10) || 'module: "' || source || ' › ' || lang || ' X"' || chr(10) || 'source: https://github.com/o/r/blob/main/' || source || '/' || lang || ' X/Doc_' || doc_id || CASE WHEN doc_id % 5 = 2 THEN '.ipynb' ELSE '.md' END
+  || chr(10) || 'extracted_at: {AT}' || chr(10) || '---' || chr(10) || chr(10) || CASE WHEN doc_id % 5 = 1 THEN '## **Head** ' || doc_id || chr(10) ELSE '' END || {sql_strip("CASE WHEN doc_id % 5 = 2 THEN 'note ' || doc_id ELSE text END")} || chr(10))
+  WHEN doc_id % 5 = 4 THEN md5('drawn') END AS digest FROM documents WHERE doc_id % 5 = 1 OR {sql_strip('text')} <> '' OR doc_id % 5 > 1""")
+def repo_note(spark, d):
+    """Files of a repository: texts, texts with a heading, notebooks, empty files and drawings."""
+    docs, n, i = table(spark, d, "documents"), F.col("doc_id") % 5, F.col("doc_id").cast("string")
+    name = F.concat("source", F.lit("/"), "lang", F.lit(" X/Doc"), F.when(n == 4, "-").otherwise("_"), i, F.when(n == 4, "-fig.drawio").when(n == 2, ".ipynb").otherwise(".md"))
+    book = F.concat(F.lit('{"cells": [{"cell_type": "markdown", "source": ["note ", "'), i, F.lit('"]}]}'))
+    text = F.when(n == 1, F.concat(F.lit("## **Head** "), i, F.lit("\n"), tx.strip(F.col("text")))).when(n == 2, book).when(n == 3, " \n").when(n == 4, "drawn").otherwise(F.col("text"))
+    rows = docs.where((n >= 1) | (tx.strip(F.col("text")) != "")).select("doc_id", name.alias("path"), F.encode(text, "UTF-8").alias("content"))
+    made = notes.repo_notes(files.repo_files(rows, assets=r"\.drawio$"), "https://github.com/o/r", "main", AT)
+    number = F.regexp_extract("path", r"Doc[_-]([0-9]+)", 1).cast("long")
+    return made.select(number.alias("doc_id"), F.when(F.col("asset"), F.lower(F.regexp_replace("file", "/Doc", "/doc"))).otherwise(F.col("file")).alias("file"), "asset", "title", "error", F.coalesce(F.md5("note"), F.md5("bytes")).alias("digest"))

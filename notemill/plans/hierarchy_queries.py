@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from notemill.functions import urls
+from notemill.functions import html, urls
 from notemill.functions import text as tx
 from notemill.operators import crawl, robots, scoring, toc
 from notemill.sources import files
@@ -96,6 +96,46 @@ def toc_prune(spark, d):
     return kept.select(tx.path_text("titles").alias("path"), "file", dotted("positions").alias("positions"))
 
 
+def _nested(spark, d, node, below):
+    """One JSON text of regions, nations and customers. node: from key and name columns, a node's own fields; below: the key of its children."""
+    r, n, c = (table(spark, d, t) for t in ("region", "nation", "customer"))
+
+    def under(rows, by, key, columns):
+        return rows.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.struct(*columns).alias("node")))), lambda x: x["node"]).alias("_below"))
+
+    leaves = under(c, "c_nationkey", "c_custkey", node("c", "c_custkey", "c_name"))
+    n = n.join(leaves, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    inner = under(n, "n_regionkey", "n_nationkey", [*node("n", "n_nationkey", "n_name"), F.col("_below").alias(below[1])])
+    r = r.join(inner, F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    whole = under(r.withColumn("one", F.lit(1)), "one", "r_regionkey", [*node("r", "r_regionkey", "r_name"), F.col("_below").alias(below[0])])
+    return whole.select(F.lit(1).alias("toc_id"), F.to_json(F.struct(F.col("_below").alias(below[2]))).alias("body"))
+
+
+@query(f"""WITH {_WORLD}, k AS (SELECT * FROM w WHERE EXISTS (SELECT 1 FROM w v WHERE ({_KEEP.replace('file', 'v.file')}) AND v.p[1:len(w.p)] = w.p)),
+ m AS (SELECT path, file, p, row_number() OVER (PARTITION BY p[1:len(p) - 1] ORDER BY p) AS n FROM k)
+ SELECT a.path, CASE WHEN {_KEEP.replace('file', 'a.file')} THEN 'https://x.org/guide/' || a.file || '.html' ELSE '' END AS url, string_agg(CAST(b.n AS VARCHAR), '.' ORDER BY len(b.p)) AS positions, bool_or(EXISTS (SELECT 1 FROM m x WHERE len(x.p) = len(a.p) + 1 AND x.p[1:len(a.p)] = a.p)) AS has_children
+ FROM m a JOIN m b ON a.p[1:len(b.p)] = b.p GROUP BY a.path, a.file""")
+def json_toc(spark, d):
+    """A published table of contents with several names of keys; pages of another site keep their title only."""
+    def node(kind, key, name):
+        file = F.concat(F.lit(kind), F.col(key).cast("string"))
+        page = F.expr(_KEEP.replace("file", f"concat('{kind}', {key})"))
+        return [F.col(name).alias({"r": "name", "n": "title", "c": "toc_title"}[kind]), F.when(page, F.concat(file, F.lit(".html"))).when(F.lit(kind == "c"), F.concat(F.lit("https://other.org/"), file)).alias("href")]
+
+    toc_text = _nested(spark, d, node, ("contents", "items", "children")).withColumn("base", F.lit("https://x.org/guide/toc.json"))
+    return toc.json_toc(toc_text, "https://x.org/guide/").select(tx.path_text("titles").alias("path"), "url", dotted("positions").alias("positions"), "has_children")
+
+
+@query(f"""WITH {_WORLD} SELECT path, positions, CASE WHEN right(file, 1) = '3' THEN '' ELSE file END AS file, EXISTS (SELECT 1 FROM w v WHERE len(v.p) = len(w.p) + 1 AND v.p[1:len(w.p)] = w.p) AS has_children FROM w""")
+def help_toc(spark, d):
+    """A portal's table of contents; nodes without a file are numbered too."""
+    def node(kind, key, name):
+        file = F.concat(F.lit(kind), F.col(key).cast("string"))
+        return [F.col(name).alias("t"), F.when(~file.endswith("3"), file).alias("u")]
+
+    return toc.help_toc(_nested(spark, d, node, ("c", "c", "c"))).select(tx.path_text("titles").alias("path"), dotted("positions").alias("positions"), "file", "has_children")
+
+
 @query(f"WITH {_WORLD} SELECT path, positions, file FROM w WHERE p[1] = (SELECT p[1] FROM w WHERE file = 'n3') AND p[2] = (SELECT p[2] FROM w WHERE file = 'n3')")
 def subtree(spark, d):
     return toc.subtree(world(spark, d), "n3").select(tx.path_text("titles").alias("path"), dotted("positions").alias("positions"), "file")
@@ -117,12 +157,37 @@ def title_only_rows(spark, d):
  UNION ALL SELECT 'b' || bn.ty || br, bn.ty || ' › ' || br, tn.n || '.' || bn.n, true FROM bn JOIN tn ON bn.ty = tn.ty
  UNION ALL SELECT 'p' || p_partkey, p_type || ' › ' || p_brand || ' › ' || p_name, tn.n || '.' || bn.n || '.' || pn.n, false FROM pn JOIN tn ON p_type = tn.ty JOIN bn ON p_type = bn.ty AND p_brand = br""")
 def menu_paths(spark, d):
+    return toc.menu_paths(_menu(spark, d)).select("id", tx.path_text("path").alias("path"), dotted("positions").alias("positions"), "is_group")
+
+
+def _menu(spark, d):
+    """Types, brands and parts as a menu's entries."""
     part = table(spark, d, "part")
     tid, bid = F.concat(F.lit("t"), "p_type"), F.concat(F.lit("b"), "p_type", "p_brand")
     nav = part.groupBy("p_type").agg(F.min("p_partkey").alias("seq")).select(tid.alias("id"), F.lit(None).cast("string").alias("parent"), "seq", F.col("p_type").alias("title"))
     nav = nav.union(part.groupBy("p_type", "p_brand").agg(F.min("p_partkey").alias("seq")).select(bid, tid, "seq", "p_brand"))
-    nav = nav.union(part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")), bid, "p_partkey", "p_name"))
-    return toc.menu_paths(nav).select("id", tx.path_text("path").alias("path"), dotted("positions").alias("positions"), "is_group")
+    return nav.union(part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")), bid, "p_partkey", "p_name"))
+
+
+@query(f"""WITH t AS (SELECT p_type AS ty, min(p_partkey) AS s FROM part GROUP BY 1), b AS (SELECT p_type AS ty, p_brand AS br, min(p_partkey) AS s FROM part GROUP BY 1, 2),
+ tn AS (SELECT *, row_number() OVER (ORDER BY s) AS n FROM t), bn AS (SELECT *, row_number() OVER (PARTITION BY ty ORDER BY s) AS n FROM b), pn AS (SELECT *, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY p_partkey) AS n FROM part WHERE p_partkey % 6 <> 5),
+ x AS (SELECT 't' || ty AS id, [n, 0, 0] AS p, printf('%02d', n) || '-' || {sql_slug('ty', 60)} || '/00-' || {sql_slug('ty', 60)} || '.md' AS file FROM tn
+ UNION ALL SELECT 'b' || bn.ty || br, [tn.n, bn.n, 0], printf('%02d', tn.n) || '-' || {sql_slug('bn.ty', 60)} || '/' || printf('%02d', bn.n) || '-' || {sql_slug('br', 60)} || CASE WHEN EXISTS (SELECT 1 FROM pn WHERE p_type = bn.ty AND p_brand = br) THEN '/00-' || {sql_slug('br', 60)} ELSE '' END || '.md' FROM bn JOIN tn ON bn.ty = tn.ty
+ UNION ALL SELECT 'p' || p_partkey, [tn.n, bn.n, pn.n], printf('%02d', tn.n) || '-' || {sql_slug('p_type', 60)} || '/' || printf('%02d', bn.n) || '-' || {sql_slug('p_brand', 60)} || '/' || printf('%02d', pn.n) || '-' || {sql_slug('p_name', 60)} || '.md' FROM pn JOIN tn ON p_type = tn.ty JOIN bn ON p_type = bn.ty AND p_brand = br)
+ SELECT id, row_number() OVER (ORDER BY p) - 1 AS at, file FROM x""")
+def menu_visits(spark, d):
+    """The menu's entries as they are visited; every sixth part is an anchor within a page."""
+    return toc.menu_entries(_menu(spark, d).withColumn("anchor", F.col("id").startswith("p") & (F.col("seq") % 6 == 5)), "anchor").select("id", "at", "file")
+
+
+@query("""WITH i AS (SELECT p_partkey, p_size AS scope, CASE WHEN p_partkey % 11 = 0 THEN 'Next' WHEN p_partkey % 13 = 0 THEN 'x' WHEN p_partkey % 17 = 0 THEN repeat('ab', 71) ELSE p_name || ' ' || (p_partkey % 3) END AS title FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0)
+ SELECT scope, min(p_partkey) AS p_partkey, title FROM i WHERE length(title) BETWEEN 2 AND 140 AND title <> 'Next' GROUP BY scope, title""")
+def menu_item_filter(spark, d):
+    """Hidden ones, wrappers, controls, titles too short or too long and repeated titles are no entries."""
+    k = F.col("p_partkey")
+    title = F.when(k % 11 == 0, "Next").when(k % 13 == 0, "x").when(k % 17 == 0, "ab" * 71).otherwise(F.concat("p_name", F.lit(" "), (k % 3).cast("string")))
+    items = table(spark, d, "part").select(F.col("p_size").alias("scope"), k.alias("seq"), title.alias("title"), (k % 5 != 0).alias("visible"), (k % 7 == 0).alias("wrapper"))
+    return scoring.menu_items(items, html.NOISE_TEXTS).select("scope", F.col("seq").alias("p_partkey"), "title")
 
 
 _EDGES = """e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, n_nationkey AS pos FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, s_suppkey FROM supplier
@@ -186,8 +251,7 @@ def robots_gate(spark, d):
     seen = evaluated(spark, d)
     usable = robots.usable_text(F.when((F.col("page_id") % 3 == 0) & (F.col("host") == "org"), 503).otherwise(200), F.when((F.col("page_id") % 3 == 0) & (F.col("host") == "net"), " <!DOCTYPE html>").otherwise("User-agent: *"))
     seen = seen.withColumn("allowed", F.when(usable == "", True).otherwise(F.col("allowed"))).withColumn("url", F.when(F.col("page_id") % 4 == 0, "http://localhost/x").otherwise(F.col("url")))
-    hosts = [r[0] for r in table(spark, d, "pages").select(urls.host(F.col("url")).alias("h")).where("h LIKE 'www.%'").distinct().collect()]  # a setting: hosts that someone has authorized
-    return robots.gate(seen, hosts).select("page_id")
+    return robots.gate(seen, urls.host(F.col("url")).like("www.%")).select("page_id")
 
 
 @query(f"""SELECT page_id, greatest(CASE WHEN page_id % 2 = 0 THEN 1.0 + (page_id % 100) / 100.0 * 2.0 ELSE 1.5 + (page_id % 100) / 100.0 * 2.5 END, CASE string_split({sql_host('url')}, '.')[-1] WHEN 'com' THEN 5.0 WHEN 'net' THEN 2.5 ELSE 0.0 END)::DOUBLE AS wait FROM pages""")

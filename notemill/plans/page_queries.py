@@ -11,7 +11,7 @@ from notemill.functions import text as tx
 from notemill.operators import notes, robots
 from notemill.sources import captured, files
 
-from .common import AT, H1, sql_normal, sql_text, table
+from .common import AT, H1, sql_host, sql_normal, sql_text, table
 from .url_queries import headings
 
 QUERIES, SQL = {}, {}
@@ -120,7 +120,15 @@ def sitemap_scan(spark, d):
     return files.sitemap_pages(own.union(given), ["https://a.org/sitemap.xml"], "a.org", "https://").select(F.col("pos").cast("long").alias("pos"), "url")
 
 
-@query()
+@query("""SELECT page_id, unnest(CASE page_id % 3 WHEN 0 THEN ['https://a.org/one.xml', 'https://a.org/' || page_id || '.xml.gz'] ELSE [regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/sitemap.xml'] END) AS map FROM pages""")
+def sitemap_seeds(spark, d):
+    """A third of the sites name their maps in robots.txt, in any case and among other lines."""
+    pages, i = pages_of(spark, d), F.col("page_id").cast("string")
+    text = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("User-agent: *\nSitemap: https://a.org/one.xml\nDisallow: /x\n siteMAP:https://a.org/"), i, F.lit(".xml.gz # all\n"))).when(F.col("page_id") % 3 == 1, "User-agent: *\nDisallow: /sitemap: no")
+    return pages.select("page_id", F.explode(files.sitemap_starts(text, F.col("url"))).alias("map"))
+
+
+@query(f"SELECT page_id, {sql_host('url')} AS host, length(html) AS chars FROM pages")
 def pages_datasource(spark, d):
     captured.register(spark)
     return spark.read.format("captured_pages").load(f"{re.sub('^file:/+', '/', d)}/pages.parquet").select("page_id", urls.host(F.col("url")).alias("host"), F.length("html").alias("chars"))

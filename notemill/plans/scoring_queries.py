@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from notemill.functions import html, urls
 from notemill.operators import scoring
+from notemill.session import shared_dir
 from notemill.streaming import stability
 
 from .common import sql_host, table
@@ -106,12 +107,13 @@ def group_state(spark, d):
     return rows.select("f", "o", "x", "s", "m", "c", got.alias("state"), group.alias("grp"))
 
 
-@query()
+@query("""WITH r AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events WHERE event_type <> 'error'), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM r WHERE b = event_type)
+ SELECT user_id, event_id, event_type, true AS settled FROM o WHERE k = 1""")
 def stability_stream(spark, d):
     """Readings as a stream, all that is there; the rows as the stream leaves them."""
     import uuid
 
-    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/notemill-stream-{uuid.uuid4().hex[:12]}"
+    folder = f"{shared_dir(spark)}/notemill-stream-{uuid.uuid4().hex[:12]}"
     table(spark, d, "events").write.parquet(f"{folder}/in")
     events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{folder}/in")
     r = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type", (F.col("event_type") == "error").alias("loading"))

@@ -228,3 +228,13 @@ def html_sniff(spark, d):
     one = pages.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("t")).union(docs.select(F.lit("document"), "doc_id", "text"))
     one = one.union(pages.select(F.lit("odd"), "page_id", F.concat(F.lit("\n <HTML>"), F.col("html"))))
     return one.select("kind", "id", tx.is_html(F.col("t")).alias("html"))
+
+
+@query(r"""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 = 0 THEN 'site' WHEN l_linenumber % 4 = 1 THEN 'extract' WHEN l_linenumber % 4 = 2 THEN 'pdf' ELSE 'extract' END AS command,
+ CASE WHEN l_linenumber % 4 = 0 THEN 'site|--only|a ' || l_orderkey || '|--limit|5' WHEN l_linenumber % 4 = 1 THEN '--only|it''s "b"|x y' WHEN l_linenumber % 4 = 2 THEN 'pdf|c\d|' || l_orderkey ELSE '' END AS words FROM lineitem""")
+def argument_words(spark, d):
+    """Quotes of both kinds, escapes, quotes inside quotes, nothing; a quote that isn't closed gives no words."""
+    n, key = F.col("l_linenumber") % 4, F.col("l_orderkey").cast("string")
+    line = F.when(n == 0, F.concat(F.lit("site  --only 'a "), key, F.lit("' --limit 5"))).when(n == 1, F.lit('--only "it\'s \\"b\\"" x\\ y')).when(n == 2, F.concat(F.lit("pdf 'c\\d' \""), key, F.lit('"'))).otherwise(F.lit("--only 'open"))
+    words = F.coalesce(F.array_join(batch.arguments(line), "|"), F.lit(""))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", batch.command(F.lit("https://x.org/a"), line).alias("command"), words.alias("words"))

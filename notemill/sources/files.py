@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notemill.functions import text as tx
 from notemill.functions import urls
-from notemill.operators.crawl import staged
+from notemill.operators.crawl import bfs
 from notemill.operators.toc import first_seen
+from notemill.session import staged
 
 _SKIPPED_DIRS = r"(^|/)(\.|node_modules/|venv/|__pycache__/)"
 
@@ -28,9 +30,10 @@ def repo_files(files: DataFrame, include: str | None = None, assets: str | None
 
 
 def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """path (within the folder), content (bytes) of all files below it."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select(F.regexp_replace("path", r"^.*?" + folder.rstrip("/").replace(".", r"\.") + "/", "").alias("path"), "content", "length")
+    """path (within the folder), content (bytes) of all files below it that hold any; Spark's reader passes over empty ones."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    root = re.escape(re.sub(r"^[a-z]+:/+", "/", folder).rstrip("/"))
+    return found.select(F.regexp_replace("path", rf"^.*?{root}/", "").alias("path"), "content", "length")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -48,43 +51,51 @@ def sitemap_locs(xml: pd.Series) -> pd.Series:
     return pd.Series([one(x) for x in xml], dtype=object)
 
 
-def sitemap_pages(maps: DataFrame, start_maps: list[str], netloc: str, prefix: str, exclude: str | None = None, limit: int = 20000, most_maps: int = 50) -> DataFrame:
-    """maps: url, xml, as captured. Gives seq, url: pages in scope in the order of their maps, each once.
+def sitemap_starts(robots: Column, url: Column) -> Column:
+    """The addresses that a robots text gives as site maps, in order; the usual one of the address' host where it gives none."""
+    lines = F.regexp_extract_all(F.coalesce(robots, F.lit("")), F.lit(r"(?im)^[ \t]*sitemap[ \t]*:[ \t]*(\S+)"), 1)
+    root = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    return F.when(F.size(lines) > 0, lines).otherwise(F.array(F.concat(root, F.lit("/sitemap.xml"))))
 
-    Maps are read first in, first out; those of other hosts aren't followed. most_maps and limit (looked at between maps) are the reference's ceilings."""
+
+def sitemap_pages(maps: DataFrame, start_maps: list[str], netloc: str, prefix: str, exclude: str | None = None, limit: int | None = 20000, most_maps: int | None = 50) -> DataFrame:
+    """maps: url, xml, as captured. Gives m (number of the map), pos, url: pages in scope in the order of their maps, each once.
+
+    Maps form a graph that is crawled from the first ones, in the order of a queue; those of other hosts aren't followed.
+    Capture policy: most_maps are read, and none once the maps before it have given limit pages; None lifts either."""
+    loc, is_map = F.col("loc"), F.col("loc").rlike(r"\.xml(\.gz)?$")
     each = staged(maps.select("url", F.posexplode(sitemap_locs(F.col("xml"))).alias("pos", "loc")), "sitemap")
-    todo, done, count, out = list(start_maps), [], 0, None
-    while todo and len(done) < most_maps and count < limit:
-        now = todo.pop(0)
-        if now in done:
-            continue
-        done.append(now)
-        own = each.where(F.col("url") == now)
-        is_map = F.col("loc").rlike(r"\.xml(\.gz)?$")
-        todo += [r[0] for r in own.where(is_map & (urls.netloc(F.col("loc")) == netloc)).orderBy("pos").select("loc").limit(most_maps).collect()]
-        link = urls.normalize(F.col("loc"))
-        pages = own.where(~is_map & urls.in_scope(link, prefix, exclude)).select(F.lit(len(done)).alias("m"), "pos", link.alias("page"))
-        count += pages.count()
-        out = pages if out is None else out.union(pages)
-    if out is None:
-        return each.select(F.lit(0).alias("m"), "pos", F.col("loc").alias("url")).limit(0)
-    return first_seen(out, ["page"], ["m", "pos"]).select("m", "pos", F.col("page").alias("url"))
-
-
-def paged(pages: DataFrame, first: str, most: int = 10000) -> DataFrame:
+    follow = each.where(is_map & (urls.netloc(loc) == netloc)).select(F.col("url").alias("src"), loc.alias("dst"), "pos")
+    starts = maps.sparkSession.createDataFrame(list(enumerate(start_maps)), "seq long, node string")
+    order = bfs(follow, starts).select(F.col("node").alias("url"), (F.col("crawl") + 1).alias("m"))
+    if most_maps is not None:
+        order = order.where(F.col("m") <= most_maps)
+    link = urls.normalize(loc)
+    pages = staged(each.where(~is_map & urls.in_scope(link, prefix, exclude)).join(order, "url").select("m", "pos", link.alias("url")), "listed")
+    if limit is not None:
+        # a row a map that gives pages
+        given = pages.groupBy(F.col("m").alias("k")).count().withColumn("before", F.sum("count").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)))
+        pages = pages.join(given, F.col("m") == F.col("k")).where(F.coalesce("before", F.lit(0)) < limit).select("m", "pos", "url")
+    return first_seen(pages, ["url"], ["m", "pos"])
+
+
+def paged(pages: DataFrame, first: str) -> DataFrame:
     """pages: url, next_page, items (array). Gives page (number), pos, item, following next_page from first.
 
-    Only addresses are followed; the items meet their page's number in one join."""
-    follow = staged(pages.select("url", "next_page"), "paged")
-    spark = pages.sparkSession
-    order, at, seen = [], first, set()
-    table = {r[0]: r[1] for r in follow.limit(most).collect()}  # a listing's pages: an address each
-    while at and at in table and at not in seen:
-        seen.add(at)
-        order.append((at, len(order)))
-        at = table[at]
-    numbers = spark.createDataFrame(order, "url string, page int")
-    return pages.join(F.broadcast(numbers), "url").select("page", F.posexplode("items").alias("pos", "item"))
+    Steps are doubled: a round joins what is numbered with where its pages lead after 2, 4, 8 ... steps, so n pages take
+    log2(n) rounds; a listing that leads back to itself ends there. Of pages with one address the first by next_page counts."""
+    own = pages.groupBy(F.col("url").alias("at")).agg(F.min("next_page").alias("to"))
+    there = own.select(F.col("at").alias("to"))
+    jump, span = staged(own.join(there, "to", "left_semi").select("at", "to"), "jump"), 1
+    known = staged(own.where(F.col("at") == first).select("at", F.lit(0).cast("long").alias("page")), "numbered")
+    while not jump.isEmpty():
+        more = known.join(jump, "at").select(F.col("to").alias("at"), (F.col("page") + span).alias("page"))
+        now = staged(known.union(more).groupBy("at").agg(F.min("page").alias("page")), "numbered")
+        if now.count() == known.count():
+            break
+        known = now
+        jump, span = staged(jump.join(jump.select(F.col("at").alias("to"), F.col("to").alias("then")), "to").select("at", F.col("then").alias("to")), "jump"), span * 2
+    return pages.join(known, F.col("url") == F.col("at")).select("page", F.posexplode("items").alias("pos", "item"))
 
 
 def toc_addresses(url: Column, html_meta: Column) -> Column:
