@@ -17,4 +17,4 @@ QUERIES = {
     "op10_secrets": secrets.op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op5_url_filters": url_filters.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_chat": chat.ORACLE, "op3_decontaminate": decontaminate.ORACLE, "op5_url_filters": url_filters.ORACLE}
