@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ TOKENIZER = "byte_bpe_50k.json"
 STORE = 150_000
 #: New pieces that go through the merge rounds together.
 TOGETHER = 50_000
+#: Bytes of a piece beyond which its rounds read only where something changes.
+LONG = 2048
 
 # The pattern of byte-level pre-tokenization.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -80,6 +83,64 @@ class Vocabulary:
 
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces, one after the other, and where each piece's ids begin (and the last ones end)."""
+        if max(map(len, pieces), default=0) <= LONG:
+            return self._rounds(pieces)
+        ids, begin = self._rounds([p if len(p) <= LONG else b"" for p in pieces])
+        lists = [ids[begin[i] : begin[i + 1]] if len(p) <= LONG else self._long(p) for i, p in enumerate(pieces)]
+        return np.concatenate(lists), np.r_[0, np.cumsum([len(x) for x in lists])]
+
+    def _long(self, piece: bytes) -> np.ndarray:
+        """The ids of one long piece. Its rounds are the same, but a round reads only where its pair occurs: positions
+        wait by the rank of the pair that begins there."""
+        ids = self.of_byte[np.frombuffer(piece, np.uint8)]
+        n = len(ids)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[-1] = -1
+        rank = np.full(n, self.none)
+        whole = np.zeros(n, np.int64)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def look(at: np.ndarray) -> None:
+            """Finds the pairs that begin at these positions, which ascend, and lets them wait."""
+            last = after[at] < 0
+            rank[at[last]] = self.none
+            at = at[~last]
+            rank[at], whole[at] = self._look(ids[at], ids[after[at]])
+            at = at[rank[at] < self.none]
+            at = at[np.argsort(rank[at], kind="stable")]
+            cut = np.flatnonzero(np.r_[True, np.diff(rank[at]) != 0, True]) if len(at) else np.zeros(1, np.int64)
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                r = int(rank[at[a]])
+                if r not in waiting:
+                    waiting[r] = []
+                    heappush(ranks, r)
+                waiting[r].append(at[a:b])
+
+        look(np.arange(n))
+        while ranks:
+            r = heappop(ranks)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            # of overlapping occurrences every other one counts, from the left
+            begins = np.r_[True, after[at[:-1]] != at[1:]]
+            run = np.flatnonzero(begins)
+            place = np.arange(len(at))
+            at = at[(place - run[np.cumsum(begins) - 1]) % 2 == 0]
+            gone = after[at]
+            ids[at] = whole[at]
+            rank[gone] = self.none
+            ids[gone] = -1
+            after[at] = after[gone]
+            inner = after[at] >= 0
+            before[after[at][inner]] = at[inner]
+            left = before[at]
+            look(np.unique(np.concatenate([at, left[left >= 0]])))
+        return ids[ids >= 0]
+
+    def _rounds(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.array([len(p) for p in pieces], np.int64)
         ids = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
         owner = np.repeat(np.arange(len(pieces)), sizes)
@@ -265,7 +326,10 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: each text is encoded, and its ids decoded again, in one pass."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: each text is encoded, and its ids decoded again, in one pass.
+
+    A null text is empty and has no tokens; repeated rows give repeated rows; an empty table gives none; other columns
+    aren't read."""
     get = coder_in_worker(docs.sparkSession, path)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
