@@ -273,8 +273,8 @@ def zendesk_tree(spark, d):
     """Regions as categories, nations as sections, suppliers as articles; categories by first appearance, sections through all chosen."""
     r, n, s = (table(spark, d, t) for t in ("region", "nation", "supplier"))
     sec = n.where(F.col("n_name").rlike(tx.rxi("[aeio]"))).join(r, n.n_regionkey == r.r_regionkey, "left").withColumn("r_name", F.coalesce("r_name", F.lit("geral")))
-    cats = sec.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("k")).withColumn("cn", F.row_number().over(Window.orderBy("k")).cast("int"))  # a row a category
-    sec = sec.withColumn("sn", F.row_number().over(Window.orderBy("n_nationkey")).cast("int")).join(F.broadcast(cats.select("n_regionkey", "cn")), "n_regionkey")
+    cats = toc.numbered(sec.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("k")), "k").select("n_regionkey", F.col("n").cast("int").alias("cn"))
+    sec = toc.numbered(sec, "n_nationkey").withColumn("sn", F.col("n").cast("int")).drop("n").join(cats, "n_regionkey")
     art = s.withColumn("an", F.row_number().over(Window.partitionBy("s_nationkey").orderBy((F.col("s_suppkey") * 7) % 10, "s_suppkey")).cast("int"))
     met = art.join(sec, art.s_nationkey == sec.n_nationkey)
     return met.select("s_suppkey", toc.output_path(F.array("r_name", "n_name", "s_name"), F.array("cn", "sn", "an")).alias("file"))
