@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from notemill.functions import text as tx
 from notemill.functions import urls
+from notemill.operators.toc import carried
 
 DONE = " — concluído"
 RUN = r"^[0-9]{8}-[0-9]{6}$"
@@ -57,16 +58,16 @@ def queue_state(lines: DataFrame, seq: str = "seq", line: str = "line", queue: s
     header = F.when(text.startswith("## "), F.nullif(tx.strip(F.regexp_replace(F.expr(f"substr({line}, 4)"), DONE + "$", "")), F.lit("")))
     # an empty header ends a group too, so headers are told apart from other lines
     named = F.when(text.startswith("## "), F.struct(header.alias("g")))
-    group = F.last(named, ignorenulls=True).over(Window.partitionBy(queue).orderBy(seq))["g"]
+    lines = carried(lines.withColumn("_named", named), queue, seq, "_named", "_group")
     claim = text.rlike(_CLAIM)
     part = lambda k, c: F.when(claim, F.regexp_extract(text, _CLAIM, c)).otherwise(F.regexp_extract(text, _ITEM, k))
     return lines.withColumns({
-        "grp": group,
+        "grp": F.col("_group.g"),
         "mark": F.nullif(F.regexp_extract(text, r"^- \[(.)\] ", 1), F.lit("")),
         "url": F.nullif(part(2, 1), F.lit("")),
         "args": F.when(claim, tx.strip(F.regexp_extract(text, _CLAIM, 2))).otherwise(tx.line_args(F.regexp_extract(text, _ITEM, 3))),
         "pid": F.expr("try_cast(nullif(regexp_extract(" + line + r", '^- \\[>\\] \\S+.* — em andamento \\(pid ([0-9]+)\\)$', 1), '') AS BIGINT)"),
-    })
+    }).drop("_named", "_group")
 
 
 def pending(state: DataFrame, live: DataFrame, groups: str | None = None, line: str = "line") -> DataFrame:

@@ -112,12 +112,17 @@ def toc_discovery(spark, d):
 def sitemap_scan(spark, d):
     """A map of maps, of which one is broken, one of another host and one has the pages' addresses."""
     pages = pages_of(spark, d).select(F.concat(F.lit("<url><loc> "), F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\n</loc></url>")).alias("x"), "page_id")
-    one = pages.groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "x"))), lambda r: r["x"]), "").alias("x"))
+    part = F.floor(F.col("page_id") / 100)  # maps of a hundred pages
+    one = pages.groupBy(part.alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "x"))), lambda r: r["x"]), "").alias("x"))
     ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
-    own = one.select(F.lit("https://a.org/pages.xml").alias("url"), F.concat(F.lit(f"<urlset {ns}>"), "x", F.lit("</urlset>")).alias("xml"))
-    top = f"<sitemapindex {ns}><sitemap><loc>https://a.org/broken.xml</loc></sitemap><sitemap><loc>https://b.org/other.xml</loc></sitemap><sitemap><loc>https://a.org/pages.xml</loc></sitemap></sitemapindex>"
-    given = spark.createDataFrame([("https://a.org/sitemap.xml", top), ("https://a.org/broken.xml", "<urlset><url>"), ("https://b.org/other.xml", "<urlset><url><loc>https://b.org/x</loc></url></urlset>")], "url string, xml string")
-    return files.sitemap_pages(own.union(given), ["https://a.org/sitemap.xml"], "a.org", "https://").select(F.col("pos").cast("long").alias("pos"), "url")
+    address = F.concat(F.lit("https://a.org/pages-"), F.col("k").cast("string"), F.lit(".xml"))
+    own = one.select(address.alias("url"), F.concat(F.lit(f"<urlset {ns}>"), "x", F.lit("</urlset>")).alias("xml"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list("k")), lambda k: F.concat(F.lit("<sitemap><loc>https://a.org/pages-"), k.cast("string"), F.lit(".xml</loc></sitemap>"))), "")
+    top = f"<sitemapindex {ns}><sitemap><loc>https://a.org/broken.xml</loc></sitemap><sitemap><loc>https://b.org/other.xml</loc></sitemap>"
+    index = one.agg(F.concat(F.lit(top), listed, F.lit("</sitemapindex>")).alias("xml")).select(F.lit("https://a.org/sitemap.xml").alias("url"), "xml")
+    given = spark.createDataFrame([("https://a.org/broken.xml", "<urlset><url>"), ("https://b.org/other.xml", "<urlset><url><loc>https://b.org/x</loc></url></urlset>")], "url string, xml string")
+    found = files.sitemap_pages(own.union(index).union(given), ["https://a.org/sitemap.xml"], "a.org", "https://", limit=None, most_maps=None)
+    return found.select(((F.col("m") - 3) * 100 + F.col("pos")).cast("long").alias("pos"), "url")  # maps 1 and 2 hold no page
 
 
 @query("""SELECT page_id, unnest(CASE page_id % 3 WHEN 0 THEN ['https://a.org/one.xml', 'https://a.org/' || page_id || '.xml.gz'] ELSE [regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/sitemap.xml'] END) AS map FROM pages""")

@@ -144,3 +144,14 @@ def test_files_are_written(spark, tmp_path):
     for bad in ("../out.md", "/etc/x"):
         with pytest.raises(Exception, match="outside the folder"):
             notes.export(spark.createDataFrame([(bad, "z")], "file string, note string"), second).collect()
+
+
+def test_carried_values(spark):
+    rng = random.Random(5)
+    rows = [(q, k, f"v{k}" if rng.random() < 0.1 else None) for q in ("a", "b", "c") for k in range({"a": 300, "b": 5, "c": 40}[q])]
+    want, last = {}, {}
+    for q, k, v in rows:
+        last[q] = v or last.get(q)
+        want[q, k] = last[q]
+    df = spark.createDataFrame(rows, "q string, k int, v string").repartition(7)
+    assert {(r.q, r.k): r.c for r in toc.carried(df, "q", "k", "v", "c").collect()} == want
