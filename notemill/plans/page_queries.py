@@ -58,7 +58,17 @@ def article_body_share(spark, d):
     return p.select("page_id", share.alias("share"), (share >= html.SHARE).alias("enough"))
 
 
-@query()
+def _sql_words(x: str) -> str:
+    """Text of markup with a blank for each tag."""
+    return sql_text(f"regexp_replace({x}, '<[^>]*>', ' ', 'g')")
+
+
+_BODY = "regexp_extract(html, '(?s)<body[^>]*>(.*)', 1)"
+for _part in ("<nav>.*?</nav>", '<div class="ad">.*?</div>', "<footer>.*?</footer>"):
+    _BODY = f"regexp_replace({_BODY}, '(?s){_part}', ' ', 'g')"
+
+
+@query(f"SELECT page_id, {_sql_words(ARTICLE)} AS text FROM pages")
 def strip_noise_text(spark, d):
     return pages_of(spark, d).select("page_id", html.page(F.col("html"))["clean_text"].alias("text"))
 
@@ -68,7 +78,7 @@ def page_markdown(spark, d):
     return pages_of(spark, d).select("page_id", html.page(F.col("html"))["markdown"].alias("markdown"))
 
 
-@query()
+@query(f"SELECT page_id, {_sql_words(_BODY)} AS text FROM pages")
 def drop_selector(spark, d):
     p = html.page(F.col("html"), content="body", drop=("div.ad", "nav"))
     return pages_of(spark, d).select("page_id", p["clean_text"].alias("text"))
