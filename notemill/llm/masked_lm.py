@@ -87,90 +87,118 @@ def windows(texts: list[np.ndarray]) -> np.ndarray:
 
 
 class Network:
+    """Weights lie in one array. Arrays of a step are kept and used again, as fresh ones cost more than the sums in them."""
+
     def __init__(self, weights: np.ndarray | None = None):
         if weights is None:
             rng = np.random.default_rng(7)
             weights = np.concatenate([rng.normal(0, 0.1, np.prod(s)) if len(s) > 2 or s[0] == WIDTH else np.zeros(np.prod(s)) for s in SHAPES])
         self.flat = np.array(weights, np.float32)
+        self.near, self.group, self.group_bias, self.leaf, self.leaf_bias = self._parts(self.flat)
+        self.room: dict[str, np.ndarray] = {}
+        self.seen = np.full(len(self.flat), 1e-7, np.float32)
+
+    @staticmethod
+    def _parts(flat: np.ndarray) -> list[np.ndarray]:
         at, parts = 0, []
         for s in SHAPES:
-            parts.append(self.flat[at : at + int(np.prod(s))].reshape(s))
+            parts.append(flat[at : at + int(np.prod(s))].reshape(s))
             at += int(np.prod(s))
-        self.near, self.group, self.group_bias, self.leaf, self.leaf_bias = parts
-        self.seen = [np.full(s, 1e-7, np.float32) for s in SHAPES]
+        return parts
+
+    def _room(self, name: str, n: int, width: int) -> np.ndarray:
+        if name not in self.room or len(self.room[name]) < n:
+            self.room[name] = np.empty((max(n, STEP), width), np.float32)
+        return self.room[name][:n]
 
     def _forward(self, w: np.ndarray):
-        """Hidden values, groups sorted with their cuts, and the scores within and of the groups, in that order."""
-        hidden = self.near[0][w[0]]
-        for k in range(1, 2 * SIDE):
-            hidden += self.near[k][w[k]]
-        np.tanh(hidden, out=hidden)
+        """Of windows sorted by their word's group: these, the order, where groups begin, hidden values, and the scores of
+        the leaves within the group and of the groups."""
         own = w[-1] // GROUPS
         order = np.argsort(own, kind="stable")
-        hidden, own = hidden[order], own[order]
+        w, own = w[:, order], own[order]
+        n = len(own)
         cut = np.r_[0, np.cumsum(np.bincount(own, minlength=GROUPS))]
-        inner = np.empty((len(own), GROUPS), np.float32)
+        hidden, more = self._room("hidden", n, WIDTH), self._room("more", n, WIDTH)
+        np.take(self.near[0], w[0], axis=0, out=hidden, mode="clip")
+        for k in range(1, 2 * SIDE):
+            np.take(self.near[k], w[k], axis=0, out=more, mode="clip")
+            hidden += more
+        np.tanh(hidden, out=hidden)
+        inner, outer = self._room("inner", n, GROUPS), self._room("outer", n, GROUPS)
         for g in np.flatnonzero(np.diff(cut)):
-            np.matmul(hidden[cut[g] : cut[g + 1]], self.leaf[g], out=inner[cut[g] : cut[g + 1]])
-        inner += self.leaf_bias[own]
-        outer = hidden @ self.group
+            part = inner[cut[g] : cut[g + 1]]
+            np.matmul(hidden[cut[g] : cut[g + 1]], self.leaf[g], out=part)
+            part += self.leaf_bias[g]
+        np.matmul(hidden, self.group, out=outer)
         outer += self.group_bias
-        return hidden, order, own, cut, inner, outer
-
-    @staticmethod
-    def _exp(z: np.ndarray) -> np.ndarray:
-        """Turns scores, in place, into exponentials over their row's highest; gives that and the sum of each row."""
-        top = z.max(axis=1)
-        z -= top[:, None]
-        np.exp(z, out=z)
-        return top, z.sum(axis=1)
+        for z in (inner, outer):  # far above what weights reach, far below what overflows
+            np.minimum(z, 60, out=z)
+        return w, order, cut, hidden, inner, outer
 
     def log_probabilities(self, w: np.ndarray, at_once: int = STEP) -> np.ndarray:
         """Of each window's token given those around it."""
-        out = np.empty(w.shape[1])
+        out, ones = np.empty(w.shape[1]), np.ones(GROUPS, np.float32)
         for a in range(0, w.shape[1], at_once):
-            x = w[:, a : a + at_once]
-            _, order, own, _, inner, outer = self._forward(x)
-            at, leaf = np.arange(len(own)), x[-1][order] % GROUPS
-            told = inner[at, leaf] + outer[at, own]
+            x, order, _, _, inner, outer = self._forward(w[:, a : a + at_once])
+            at = np.arange(len(order))
+            told = inner[at, x[-1] % GROUPS] + outer[at, x[-1] // GROUPS]
             for z in (inner, outer):
-                top, total = self._exp(z)
-                told -= top + np.log(total)
+                np.exp(z, out=z)
+                told -= np.log(z @ ones)
             out[a + order] = told
         return out
 
-    def step(self, w: np.ndarray, rate: float = RATE) -> None:
-        """One step of Adagrad for the mean loss of these windows."""
-        hidden, order, own, cut, inner, outer = self._forward(w)
-        n, at = len(own), np.arange(len(own))
-        for z, y in ((inner, w[-1][order] % GROUPS), (outer, own)):
-            z /= self._exp(z)[1][:, None]
-            z[at, y] -= 1
-            z /= n
-        back = outer @ self.group.T
-        groups = np.flatnonzero(np.diff(cut))
-        turned = np.zeros((len(groups), WIDTH, GROUPS), np.float32)
-        for k, g in enumerate(groups):
+    def gradient(self, w: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Of the mean loss of these windows: of all weights but those near, one after the other; and of the latter, for
+        each place in a window, the leaves that occur there and the gradients of their rows."""
+        w, _, cut, hidden, inner, outer = self._forward(w)
+        n, at = w.shape[1], np.arange(w.shape[1])
+        ones, back, more = np.ones(max(n, GROUPS), np.float32), self._room("back", n, WIDTH), self._room("more", n, WIDTH)
+        for z, y in ((inner, w[-1] % GROUPS), (outer, w[-1] // GROUPS)):
+            np.exp(z, out=z)
+            z *= (1 / (n * (z @ ones[:GROUPS])))[:, None]
+            z[at, y] -= np.float32(1 / n)
+        flat = self.room.setdefault("gradient", np.empty(len(self.flat), np.float32))
+        _, group, group_bias, leaf, leaf_bias = self._parts(flat)
+        leaf[:] = 0
+        leaf_bias[:] = 0
+        for g in np.flatnonzero(np.diff(cut)):
             s = slice(cut[g], cut[g + 1])
-            np.matmul(hidden[s].T, inner[s], out=turned[k])
-            back[s] += inner[s] @ self.leaf[g].T
-        back *= 1 - hidden * hidden
-        self._move(self.leaf, 3, groups, turned, rate)
-        self._move(self.leaf_bias, 4, groups, np.add.reduceat(inner, cut[:-1][groups], axis=0), rate)
-        self._move(self.group, 1, slice(None), hidden.T @ outer, rate)
-        self._move(self.group_bias, 2, slice(None), outer.sum(axis=0), rate)
-        for k in range(2 * SIDE):  # rows of one leaf are added up first
-            x = w[k][order]
-            by = np.argsort(x, kind="stable")
-            x = x[by]
+            np.matmul(hidden[s].T, inner[s], out=leaf[g])
+            np.matmul(ones[: cut[g + 1] - cut[g]], inner[s], out=leaf_bias[g])
+            np.matmul(inner[s], self.leaf[g].T, out=back[s])
+        np.matmul(hidden.T, outer, out=group)
+        np.matmul(ones[:n], outer, out=group_bias)
+        np.matmul(outer, self.group.T, out=more)
+        back += more
+        np.multiply(hidden, hidden, out=more)
+        np.subtract(1, more, out=more)
+        back *= more
+        near = []
+        for k in range(2 * SIDE):  # rows of one leaf are added up
+            by = np.argsort(w[k], kind="stable")
+            x = w[k][by]
             first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-            self._move(self.near[k], 0, x[first], np.add.reduceat(back[by], first, axis=0), rate, k)
+            np.take(back, by, axis=0, out=more, mode="clip")
+            near.append((x[first], np.add.reduceat(more, first, axis=0)))
+        return flat[self.near.size :], near
 
-    def _move(self, value: np.ndarray, part: int, at, grad: np.ndarray, rate: float, k: int | None = None) -> None:
-        seen = self.seen[part] if k is None else self.seen[part][k]
-        now = seen[at] + grad * grad
-        seen[at] = now
-        value[at] -= rate * grad / np.sqrt(now)
+    def step(self, w: np.ndarray, rate: float = RATE) -> None:
+        """One step of Adagrad."""
+        rest, near = self.gradient(w)
+        seen_near = self._parts(self.seen)[0]
+        for k, (rows, grad) in enumerate(near):
+            seen = seen_near[k][rows] + grad * grad
+            seen_near[k][rows] = seen
+            self.near[k][rows] -= rate * grad / np.sqrt(seen)
+        seen, size = self.seen[self.near.size :], self.room.setdefault("size", np.empty(len(rest), np.float32))
+        np.multiply(rest, rest, out=size)
+        seen += size
+        np.sqrt(seen, out=size)
+        rest /= size
+        rest *= rate
+        self.flat[self.near.size :] -= rest
 
 
 # --- what is gathered from the corpus
