@@ -1,8 +1,9 @@
 """Connected components over an edge table, without gathering any component in one task.
 
 Rounds of large-star and small-star: every node links its larger neighbours, then its smaller ones, to the smallest
-node it sees. A round is two aggregations (combined before the shuffle) and two joins (whose hot keys adaptive
-execution splits); edges are at most as many as before. Each round's edges are a table in the shared folder.
+node it sees. A round is two aggregations (combined before the shuffle) and two joins; edges are at most as many as
+before. Each round's edges, and what each node sees, are tables in the shared folder: so a join reads both sides plainly,
+and the small one is broadcast by its size, or else adaptive execution splits what a hub has.
 """
 
 from __future__ import annotations
@@ -14,16 +15,20 @@ from . import common
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """edges: a, b. Links the neighbours of each node that are larger (or, for small, not larger) than it to the smallest of it and its neighbours."""
+    """edges: a, b. A table that links the neighbours of each node that are larger (or, for small, not larger) than it to the smallest of it and its neighbours."""
     if small:
         near = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     else:
         near = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    met = near.join(least, near.u == least.k)
+    least = common.staged(near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "least")
+    met = near.join(common.sized(least), F.col("u") == F.col("k"))
     if small:
-        return met.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("k").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-    return met.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        out = met.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("k").alias("a"), F.col("m").alias("b")))
+    else:
+        out = met.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    out = common.staged(out.where("a <> b").distinct(), "edges")
+    common.dropped(least)
+    return out
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -40,8 +45,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             out._notemill_path = now._notemill_path
             return out
         seen = (mark.n, mark.h)
-        large = common.staged(_star(now, False), "edges")
+        large = _star(now, False)
         common.dropped(now)
-        now = common.staged(_star(large, True), "edges")
+        now = _star(large, True)
         common.dropped(large)
     raise RuntimeError(f"components didn't settle in {rounds} rounds")

@@ -214,11 +214,12 @@ def drop_near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rows.select("doc_id", "text_hash", "node").join(group.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     keyed = named.groupBy("doc_id", "text_hash", F.coalesce("component", "node").alias("component")).agg(F.count(F.lit(1)).alias("n"))
     keyed = common.staged(keyed, "keys")
-    best = keyed.groupBy(F.col("component").alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best"))
-    judged = keyed.join(best, keyed.component == best.c)
+    best = keyed.groupBy(F.col("component").alias("c")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best"), F.sum("n").alias("rows"))
+    best = common.staged(best.where("rows > 1").select("c", "best"), "best")
+    judged = keyed.join(common.sized(best), F.col("component") == F.col("c"))
     wins = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
     odd = common.staged(judged.where(~wins | (F.col("n") > 1)).select(F.col("doc_id").alias("k"), F.col("text_hash").alias("t"), wins.alias("wins")), "decided")
-    for table in (rows, edges, group, keyed):
+    for table in (rows, edges, group, keyed, best):
         common.dropped(table)
     same = lambda keys: docs[id_col].eqNullSafe(keys.k) & (F.xxhash64(docs[text_col]) == keys.t)
     once = docs.join(common.sized(odd), same(odd), "left_anti")

@@ -283,9 +283,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = common.staged(nodes.join(group, nodes.fp == group.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "named")
     common.dropped(edges)
     common.dropped(group)
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = common.staged(named.select(F.col("fp").alias("of"), "component").join(least, "component").select("of", "component_id"), "classes")
+    least = common.staged(named.groupBy(F.col("component").alias("c")).agg(F.min("least").alias("component_id")), "least")
+    of_fp = common.staged(named.select(F.col("fp").alias("of"), "component").join(common.sized(least), F.col("component") == F.col("c")).select("of", "component_id"), "classes")
     common.dropped(named)
+    common.dropped(least)
     return rows.join(of_fp, rows.fp == of_fp["of"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
