@@ -89,6 +89,59 @@ def test_rules_are_learnt():
     assert quality_rules.fit({})[0] == {}
 
 
+def plain_votes(text):
+    """The eight rules, each from the text itself."""
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    if not words:
+        return (-1, 0, 0, 0, 0, 0, 0, 0)
+    n, chars, symbols, dup, repeated = plain_measures(text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    letters, capitals = re.findall("[A-Za-z]", text), re.findall("[A-Z]", text)
+    level = lambda x, good, bad: 1 if x <= good else -1 if x > bad else 0
+    return (
+        -1 if n < 50 else 1 if n >= 80 else 0,
+        1 if 2.5 <= chars / n <= 12 else -1 if chars / n < 2 or chars / n > 20 else 0,
+        level(symbols / n, 0.02, 0.1),
+        level(sum(bool(re.search(r"[#*$%&|<>]", w)) for w in words) / n, 0.05, 0.2),
+        level(dup / len(lines), 0.1, 0.3 if dup > 2 else 1),
+        level(repeated / n, 0.2, 0.5),
+        level(len(capitals) / len(letters), 0.15, 0.5) if len(letters) >= 20 else 0,
+        level(text.count("!") / n, 0.05, 0.3),
+    )
+
+
+def plain_kept(texts):
+    """Expectation-maximisation document by document, without a table of patterns."""
+    votes = [plain_votes(t) for t in texts]
+    good, bad, share = [0.99] * 8, [0.4] * 8, 0.8
+    for _ in range(quality_rules.ROUNDS):
+        post = []
+        for v in votes:
+            p, q = share, 1 - share
+            for k, x in enumerate(v):
+                p *= good[k] if x == 1 else 1 - good[k] if x == -1 else 1
+                q *= 1 - bad[k] if x == 1 else bad[k] if x == -1 else 1
+            post.append(p / (p + q))
+        for k in range(8):
+            voted = [(p, v[k]) for p, v in zip(post, votes) if v[k]]
+            good[k] = min(max((sum(p for p, x in voted if x == 1) + 0.99) / (sum(p for p, _ in voted) + 1), 0.9), 0.999)
+            bad[k] = min(max((sum(1 - p for p, x in voted if x == -1) + 0.4) / (sum(1 - p for p, _ in voted) + 1), 0.02), 0.999)
+        share = min(max((sum(post) + 0.8) / (len(post) + 1), 0.05), 0.95)
+    out = []
+    for t, p in zip(texts, post):
+        n, _, _, _, repeated = plain_measures(t)
+        out.append(not (n < 50 or 100 * repeated > 50 * n) and p >= quality_rules.KEEP_AT)
+    return out
+
+
+def test_quality_verdicts_against_plain_ones(spark, data, odd):
+    docs = common.table(spark, data, "documents").select("doc_id", "text").collect()
+    rows = [(r.doc_id, r.text) for r in docs] + [(100_000 + k, t) for k, (_, t) in enumerate(odd[0])] + [(200_000, "A " * 90), (200_001, "!! # " * 60), (200_002, "one two three\n" * 40)]
+    got = {r.doc_id: r.kept for r in quality_rules.judge(frame(spark, rows)).collect()}
+    assert [got[i] for i, _ in rows] == plain_kept([t for _, t in rows]) and 0 < sum(got.values()) < len(rows)
+
+
 # --- 2
 
 
@@ -192,6 +245,11 @@ def test_bpe_as_the_library(spark, odd, data, empty):
         theirs = library.encode(text or "", add_special_tokens=False).ids
         assert ids[upto[k] : upto[k + 1]].tolist() == theirs
         assert back == library.decode(theirs, skip_special_tokens=False)
+    long = ["a" * 70_001, "".join(rng.choice("etaoinshr") for _ in range(150_000)), "xy" * 5000 + " " + "é" * 3000, "".join(rng.choice("ab") for _ in range(30_000)) + "!" * 9001, " " * 20_000 + "end"]
+    ids, upto = coder.encode(long)
+    for k, text in enumerate(long):
+        assert ids[upto[k] : upto[k + 1]].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert coder.decode(ids, upto) == long
     rows, df = odd
     got = bpe.digests(df, bpe.vocabulary_path()).collect()
     want = []
@@ -212,13 +270,20 @@ def test_url_filters(spark):
     rows = [
         (1, "https://a.example.org/es/x?y#z", None), (2, "https://A.Example.ORG/en/1", ""), (3, "http://notexample.org/es/", "<p>"), (4, "https://x.com/fr/1", link.format("https://x.com/de/1")), (5, "https://x.com/de/1", ""),
         (6, "https://m.net/a#frag", link.format("/b")), (7, "https://m.net/b", '<meta http-equiv="refresh" content="0; url=https://q.com/de/">'), (8, None, None), (9, "no scheme", link.format("https://x.com/de/1")), (10, "https://m.net/c", link.format("b")), (10, "https://m.net/c", ""), (11, "https://org", ""), (12, "https://m.net/d", ""),
+        (13, "HTTPS://M.net:443/x/./y/../e", ""), (14, "https://m.net/x/e?q=1", link.format("HTTPS://X.com/de/z") + link.format("../b/../x/e")), (15, "http://m.net:8080/b", ""), (16, "https://k.net", link.format("/de/./..")), (17, "https://k.net/", link.format("?a=/de/")), (18, "https://k.net/?a=/de/", link.format("//X.com/de/?")), (19, "https://v.net/f" + "/g" * 40_000, ""),
     ]
     pages = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, rule string")
     got = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filters.judge(pages).collect()}
     assert got == {
         (1, "a.example.org", "/es/x", "example.org/es/", "block"), (2, "a.example.org", "/en/1", "example.org/en/1", "block"), (3, "notexample.org", "/es/", "org/", "allow"), (4, "x.com", "/fr/1", "com/fr/", "allow"), (5, "x.com", "/de/1", "com/de/", "block"),
         (6, "m.net", "/a", None, "block"), (7, "m.net", "/b", None, "block"), (8, "", "", None, "allow"), (9, "", "", None, "allow"), (10, "m.net", "/c", None, "block"), (11, "org", "", None, "allow"), (12, "m.net", "/d", None, "allow"),
+        (13, "m.net:443", "/x/./y/../e", None, "block"), (14, "m.net", "/x/e", None, "block"), (15, "m.net:8080", "/b", None, "allow"), (16, "k.net", "", None, "block"), (17, "k.net", "/", None, "block"), (18, "k.net", "/", None, "block"), (19, "v.net", "/f" + "/g" * 40_000, None, "allow"),
     }
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    assert {r[:5] for r in con.execute(url_filters.ORACLE).fetchall()} == got
     many = [("block", f"h{k}.example", "/") for k in range(300)] + list(url_filters.RULES)
     assert {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filters.judge(pages, many).collect()} == got
     more = spark.createDataFrame([("https://m.net/d", "https://m.net/a#x")], "a string, b string")
@@ -258,6 +323,54 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def plain_licence(matcher, text):
+    """The best cosine of all lines, runs of lines and windows, by dictionaries."""
+    idf = lambda w: matcher.idf.get(w, matcher.rest)
+    vectors = [(n, {w: c * idf(w) for w, c in Counter(licenses.words_of(t)).items()}) for n, t in licenses.TEMPLATES]
+    lines = [w for x in (text or "").lower().split("\n") if (w := licenses.words_of(x))]
+    parts = []
+    for i in range(len(lines)):
+        for j in range(i, min(len(lines), i + licenses.RUN)):
+            if all(any(w in matcher.idf for w in x) for x in lines[i : j + 1]):
+                parts.append(sum(lines[i : j + 1], []))
+    whole = licenses.words_of(text or "")
+
+    def cosine(words, v):
+        own = {w: c * idf(w) for w, c in Counter(words).items()}
+        return sum(x * own.get(w, 0) for w, x in v.items()) / math.sqrt(sum(x * x for x in own.values()) * sum(x * x for x in v.values()))
+
+    found = [cosine(words, v) for words in parts for _, v in vectors]
+    for (_, t), (_, v) in zip(licenses.TEMPLATES, vectors):
+        size = len(licenses.words_of(t))
+        found += [cosine(whole[k : k + size], v) for k in range(len(whole) - size + 1)]
+    return max(found, default=0.0)
+
+
+def test_licence_scores_against_plain_ones():
+    rng = random.Random(21)
+    filler = "alpha beta gamma the of to any work copy license version public delta under".split()
+    texts = [None, "", "the"]
+    for _ in range(60):
+        notice = rng.choice(licenses.TEMPLATES)[1].split(" ")
+        notice = [w for w in notice if rng.random() > 0.1]
+        words = [rng.choice(filler) for _ in range(rng.randrange(0, 40))] + notice + [rng.choice(filler) for _ in range(rng.randrange(0, 40))]
+        texts.append("".join(w + rng.choice([" "] * rng.choice((1, 6, 60)) + ["\n"]) for w in words))
+    matcher = licenses.Matcher(40, {"the": 39, "of": 35, "to": 30, "license": 20, "under": 12})
+    got = matcher.scan(texts)
+    assert sum(g[0] is not None for g in got) > 30
+    for (score, own, _), text in zip(got, texts):
+        want = plain_licence(matcher, text)
+        assert (score is None and own is None and want < licenses.THRESHOLD + 1e-9) or abs(score - want) < 1e-9
+
+
+@pytest.mark.parametrize("notice, own", [("Released under the MIT License.", "MIT"), ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version.", "GPL-2.0"), ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"), ("licensed under the GNU Affero General Public License, version 3", "AGPL-3.0")])
+def test_notices_inside_long_lines(notice, own):
+    matcher = licenses.Matcher(1000, {"the": 900, "of": 900, "to": 800, "a": 700, "or": 500, "it": 500})
+    line = "value other more data words for reading only that nobody reads " * 40
+    assert matcher.scan([line + notice + " " + line])[0][1] == own
+    assert matcher.scan([line])[0][1] is None
+
+
 # --- 7
 
 
@@ -466,22 +579,18 @@ def test_network_gradient():
     w = rng.integers(1, masked_lm.LEAVES, (5, 60)).astype(np.uint16)
     w[-1] = w[1]
     net = masked_lm.Network(rng.normal(0, 0.3, len(masked_lm.Network().flat)))
-    moved: dict = {}
-
-    def record(value, part, at, grad, rate, k=None):
-        moved.setdefault((part, k), np.zeros(value.shape))[at] += grad
-
-    net._move = record
-    net.step(w)
-    for (part, k), grad in moved.items():
-        value = [net.near, net.group, net.group_bias, net.leaf, net.leaf_bias][part] if k is None else net.near[k]
-        for at in [np.unravel_index(i, grad.shape) for i in np.argsort(-np.abs(grad).ravel())[:3]]:
-            old, loss = value[at], []
-            for d in (1e-2, -1e-2):
-                value[at] = old + d
-                loss.append(-net.log_probabilities(w).mean())
-            value[at] = old
-            assert abs((loss[0] - loss[1]) / 2e-2 - grad[at]) < 2e-3 + 0.05 * abs(grad[at])
+    rest, near = net.gradient(w)
+    whole = np.concatenate([np.zeros(net.near.size, np.float32), rest])
+    rows = whole[: net.near.size].reshape(net.near.shape)
+    for k, (x, grad) in enumerate(near):
+        rows[k][x] = grad
+    for i in np.r_[np.argsort(-np.abs(whole))[:6], np.argsort(-np.abs(whole[: net.near.size]))[:6]]:
+        old, loss = net.flat[i], []
+        for d in (1e-2, -1e-2):
+            net.flat[i] = old + d
+            loss.append(-net.log_probabilities(w).mean())
+        net.flat[i] = old
+        assert abs((loss[0] - loss[1]) / 2e-2 - whole[i]) < 2e-3 + 0.05 * abs(whole[i])
     net = masked_lm.Network()
     before = net.log_probabilities(w).mean()
     for _ in range(40):
@@ -598,6 +707,65 @@ def test_redaction_keeps_other_columns(spark):
 # --- the pipeline
 
 
+def plain_pipeline(rows, benchmark):
+    """All five stages by the plain versions: (id, text) of the rows left, the texts redacted."""
+    rows = [r for r, keep in zip(rows, plain_kept([t for _, t in rows])) if keep]
+    first = {}
+    for label, r in zip(plain_groups(rows), rows):
+        key = (r[0] is None, r[0] or 0)
+        if label not in first or key < first[label][0]:
+            first[label] = (key, r)
+    rows = [r for _, r in first.values()]
+    gone = {d for d, _ in contains(list(enumerate(t for _, t in rows)), benchmark)}
+    rows = [r for k, r in enumerate(rows) if k not in gone]
+    out = []
+    for i, text in rows:
+        clean, at = "", 0
+        for a, b in sorted((int(x.split(":")[1]), int(x.split(":")[2])) for x in plain_spans(text)[4].split(",") if x):
+            if at == 0 or a >= at:
+                clean += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        out.append((i, clean + text[at:] if at else text))
+    return out
+
+
+def as_tokens(rows):
+    from tokenizers import Tokenizer
+
+    library, out = Tokenizer.from_file(bpe.vocabulary_path()), Counter()
+    for i, t in rows:
+        own = library.encode(t, add_special_tokens=False).ids
+        out[i, len(own), hashlib.sha256(",".join(map(str, own)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()] += 1
+    return out
+
+
+def test_pipeline_against_plain_stages(spark, data, odd, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(30)
+    docs = [(r.doc_id, r.text) for r in common.table(spark, data, "documents").collect()]
+    items = [(r.item_id, r.text) for r in common.table(spark, data, "benchmark").collect()]
+    assert Counter(tuple(r)[:4] for r in corpus_pipeline.run(spark, data).collect()) == as_tokens(plain_pipeline(docs, items))
+
+    # odd input: ids that repeat or are null, copies under one id, clean rows beside contaminated ones of the same id
+    fresh = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(120))
+    leak = " ".join(w for w in items[0][1].split())
+    copy = fresh()
+    rows = [*odd[0], (500, fresh()), (500, fresh()), (501, copy), (501, copy), (502, copy), (None, fresh()), (None, fresh()), (503, f"{fresh()} {leak} {fresh()}"), (503, fresh()), (None, f"{fresh()} {leak}"), (504, fresh() + " password=hunter2hunter2 " + fresh())]
+    folder = f"file://{tmp_path}/odd"
+    frame(spark, rows).write.parquet(f"{folder}/documents.parquet")
+    common.table(spark, data, "benchmark").write.parquet(f"{folder}/benchmark.parquet")
+    want = plain_pipeline(rows, items)
+    assert Counter(tuple(r)[:4] for r in corpus_pipeline.run(spark, folder).collect()) == as_tokens(want)
+    left = Counter(i for i, _ in want)
+    assert left[500] == 2 and left[501] == 1 and left[502] == 0 and left[503] == 1 and left[None] >= 2 and left[504] == 1
+
+    empty_folder = f"file://{tmp_path}/empty"
+    frame(spark, []).write.parquet(f"{empty_folder}/documents.parquet")
+    common.table(spark, data, "benchmark").limit(0).write.parquet(f"{empty_folder}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, empty_folder).count() == 0
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline
 
