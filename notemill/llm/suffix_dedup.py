@@ -38,7 +38,7 @@ from . import common
 
 LENGTH, Q = 100, 32
 #: Bytes of text, at most, that one piece holds; longer texts are cut into pieces that overlap.
-PIECE = 1 << 20
+PIECE = 1 << 18
 # Odd multipliers.
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 _PLACE = np.uint64((1 << 22) - 1)
