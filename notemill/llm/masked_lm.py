@@ -40,9 +40,9 @@ LEAVES = GROUPS * GROUPS
 TOP = LEAVES - 1 - BUCKETS
 #: Words whose counts are broadcast, at most (16 bytes each).
 KNOWN = 1 << 18
-ROUNDS, RATE = 2, 0.15
+ROUNDS, RATE = 2, 0.25
 #: Windows that a task holds, and the most and fewest that make a step; between them a task has STEPS steps or more.
-BUFFER, STEP, LEAST_STEP, STEPS = 262_144, 8192, 256, 200
+BUFFER, STEP, LEAST_STEP, STEPS = 262_144, 16_384, 256, 200
 #: Tasks that train, at most: each sends its weights once a round.
 SHARDS = 4096
 #: Words that a worker keeps with their numbers.
@@ -133,7 +133,8 @@ class Network:
         np.matmul(hidden, self.group, out=outer)
         outer += self.group_bias
         for z in (inner, outer):  # far above what weights reach, far below what overflows
-            np.minimum(z, 60, out=z)
+            if z.max(initial=0) > 60:
+                np.minimum(z, 60, out=z)
         return w, order, cut, hidden, inner, outer
 
     def log_probabilities(self, w: np.ndarray, at_once: int = STEP) -> np.ndarray:
