@@ -105,9 +105,13 @@ def front_title(note: Column, fallback: Column) -> Column:
     return F.when(front.rlike(r'(?m)^title: ".*"$'), F.regexp_extract(front, r'(?m)^title: "(.*)"$', 1)).otherwise(fallback)
 
 
+def blocks(markdown: Column) -> Column:
+    """The text cut before each heading of level 1 and 2."""
+    return F.split(markdown, r"(?m)^(?=#{1,2} )")
+
+
 def chunks(markdown: Column, limit: int = 30000) -> Column:
     """The text cut before headings of level 1 and 2, as few cuts as keep parts within limit; a longer block stays whole."""
-    blocks = F.split(markdown, r"(?m)^(?=#{1,2} )")
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"))
 
     def step(at, block):
@@ -117,7 +121,7 @@ def chunks(markdown: Column, limit: int = 30000) -> Column:
     def end(at):
         return F.when(at["now"] != "", F.concat(at["out"], F.array(at["now"]))).otherwise(at["out"])
 
-    return F.when(F.char_length(markdown) <= limit, F.array(markdown)).otherwise(F.aggregate(blocks, start, step, end))
+    return F.when(F.char_length(markdown) <= limit, F.array(markdown)).otherwise(F.aggregate(blocks(markdown), start, step, end))
 
 
 _ANCHOR = r"(?m)^(#{1,6} [^\n]*?)[^\S\n]*\[\[[^\]\n]+\]\][^\S\n]*$"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,6 +145,61 @@ def section_status(body: Column) -> Column:
     return F.when(words < 3, "ValueError: seção sem texto").otherwise("ok")
 
 
+# --- chunks of texts that come in parts
+
+
+def chunked(parts: DataFrame, key: str, at: str = "at", text: str = "text", limit: int = 30000) -> DataFrame:
+    """key, chunk (from 0), text: a key's parts, joined in the order of at, cut as tx.chunks() cuts the whole text; a key
+    whose parts are all null has none. Each part has to end in a line end, so that no heading lies across two.
+
+    No key's text is put together: where cuts fall follows from the lengths of blocks, which alone are read in a key's
+    order; texts move once to the other parts of their place and once to their chunk."""
+    place = F.struct(F.col(key).alias("key"), F.col(at).alias("at")).alias("place")
+    own = parts.where(F.col(text).isNotNull()).groupBy(place).agg(F.array_join(F.array_sort(F.collect_list(text)), "").alias("text"))
+    own = own.select("place", tx.blocks(F.col("text")).alias("blocks"))
+    goes_on = ~F.element_at("blocks", 1).rlike("^#{1,2} ")  # what a part begins with belongs to the block before it
+    lengths = own.select("place", F.transform("blocks", F.char_length).alias("sizes"), goes_on.alias("goes_on")).repartition("place.key").sortWithinPartitions("place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, last, chunk, size, block = [], [], 0, 0, []  # block: what the open one has, as the length and the row of each piece
+
+        def closed() -> None:
+            nonlocal chunk, size
+            n = sum(x for x, _ in block)
+            if size and size + n > limit:
+                chunk, size = chunk + 1, 0
+            size += n
+            for _, cuts in block:
+                cuts.append(chunk)
+            block.clear()
+
+        def batch(n: int, kind: pa.DataType) -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows[:n]], kind), pa.array([x[1] for x in rows[:n]], pa.list_(pa.int64()))], names=["to", "chunks"])
+            del rows[:n]
+            return out
+
+        for b in batches:
+            kind = b.column(0).type
+            for place, sizes, on in zip(*(c.to_pylist() for c in b.columns)):
+                if last != [place["key"]]:
+                    closed()
+                    last, chunk, size = [place["key"]], 0, 0
+                rows.append((place, cuts := []))
+                for k, n in enumerate(sizes):
+                    if k or not on:
+                        closed()
+                    block.append((n, cuts))
+            yield batch(len(rows) - len(block), kind)  # each piece of the open block is the last of its row
+        closed()
+        if rows:
+            yield batch(len(rows), kind)
+
+    placed = lengths.mapInArrow(run, f"to {lengths.schema['place'].dataType.simpleString()}, chunks array<long>")
+    rows = own.join(placed, F.col("place") == F.col("to")).select("place", F.posexplode(F.arrays_zip("blocks", "chunks")).alias("i", "x"))
+    whole = rows.groupBy(F.col("place.key").alias("key"), F.col("x.chunks").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("place.at", "i", F.col("x.blocks").alias("s")))).alias("x"))
+    return whole.select(F.col("key").alias(key), "chunk", F.array_join(F.transform("x", lambda r: r["s"]), "").alias("text"))
+
+
 # --- formatting with a model
 
 

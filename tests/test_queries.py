@@ -1,5 +1,7 @@
 """Every query runs; those that have SQL give its rows."""
 
+import re
+
 import pandas as pd
 import pytest
 
@@ -51,3 +53,12 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["chunk_documents"])
+def test_no_book_is_one_row(name, spark, data):
+    """A book's documents are grouped by their place and their chunk, never by source alone."""
+    plan = QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    groups = re.findall(r"Aggregate \[(.*?)\], \[", plan)
+    assert groups and all("source" not in g.split("#")[0] for g in groups)
+    assert len(groups) >= 2

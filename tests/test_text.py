@@ -33,6 +33,20 @@ def test_chunks_join_to_the_text(spark):
     assert one(spark, tx.chunks(F.col("t"), 4000), t="# a\nb") == ["# a\nb"]
 
 
+def test_parts_are_cut_as_the_whole_text(spark):
+    """The same chunks as of the joined text, which no row ever holds."""
+    parts = [(k, n, f"{'#' * (n % 4)} T {n}\n" + "é" * (n * 37 % 90) + ("\n## S\n" + "y" * (n * 53 % 70) if n % 3 else "") + "\n") for k in ("a", "b", None) for n in range(40)]
+    parts += [("b", 7, "again\n"), ("b", 41, None), ("long", 1, "z" * 300 + "\n"), ("long", 2, "# z\n"), ("short", 3, "s\n"), ("null", 1, None), ("empty", 1, "")]
+    frame = spark.createDataFrame(parts, "k string, at long, text string").repartition(5)
+    got = documents.chunked(frame, "k", limit=120)
+    assert {(r.k, r.chunk): r.text for r in got.collect()} == {(r.k, r.chunk): r.s for r in whole_texts(frame).select("k", F.posexplode(tx.chunks(F.col("text"), 120)).alias("chunk", "s")).collect()}
+
+
+def whole_texts(parts):
+    one = parts.where("text IS NOT NULL").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("x"))
+    return one.select("k", F.array_join(F.transform("x", lambda r: r["text"]), "").alias("text"))
+
+
 def test_clean_markdown(spark):
     out = one(spark, tx.clean_markdown(F.col("t")), t="---\ntitle: 'A b'\n---\n> ## Documentation Index\n> llms.txt\n\n# A b [[a-b]]\ntext\n")
     assert out["title"] == "A b" and out["body"] == "# A b\ntext\n"
