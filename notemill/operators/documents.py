@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -200,6 +201,31 @@ def chunked(parts: DataFrame, key: str, at: str = "at", text: str = "text", limi
     return whole.select(F.col("key").alias(key), "chunk", F.array_join(F.transform("x", lambda r: r["s"]), "").alias("text"))
 
 
+def joined_sha1(parts: DataFrame, key: str, at: str = "chunk", text: str = "text") -> DataFrame:
+    """key, digest: SHA-1 of a key's texts joined in the order of at. The hash goes on from row to row, in bounded memory."""
+    rows = parts.select(F.col(key).alias("key"), F.col(at).alias("at"), F.col(text).alias("text")).repartition("key").sortWithinPartitions("key", "at")
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(k, digest):
+            return pa.RecordBatch.from_arrays([pa.array([k], kept), pa.array([digest.hexdigest()])], names=["key", "digest"])
+
+        last, digest, kept = [], None, None
+        for b in batches:
+            kept = b.column(0).type
+            for k, s in zip(b.column(0).to_pylist(), b.column(2)):
+                if last != [k]:
+                    if last:
+                        yield row(last[0], digest)
+                    last, digest = [k], hashlib.sha1()
+                if s.is_valid:
+                    digest.update(s.as_buffer())
+        if last:
+            yield row(last[0], digest)
+
+    return rows.mapInArrow(run, f"key {kind}, digest string").withColumnRenamed("key", key)
+
+
 # --- formatting with a model
 
 

@@ -55,7 +55,7 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["chunk_documents"])
+@pytest.mark.parametrize("name", ["chunk_documents", "chunk_roundtrip"])
 def test_no_book_is_one_row(name, spark, data):
     """A book's documents are grouped by their place and their chunk, never by source alone."""
     plan = QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()

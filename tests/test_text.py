@@ -40,6 +40,7 @@ def test_parts_are_cut_as_the_whole_text(spark):
     frame = spark.createDataFrame(parts, "k string, at long, text string").repartition(5)
     got = documents.chunked(frame, "k", limit=120)
     assert {(r.k, r.chunk): r.text for r in got.collect()} == {(r.k, r.chunk): r.s for r in whole_texts(frame).select("k", F.posexplode(tx.chunks(F.col("text"), 120)).alias("chunk", "s")).collect()}
+    assert {r.k: r.digest for r in documents.joined_sha1(got, "k").collect()} == {r.k: r.d for r in whole_texts(frame).select("k", F.sha1("text").alias("d")).collect()}
 
 
 def whole_texts(parts):
